@@ -5,7 +5,7 @@ from importlib import import_module
 from leafgraph.checks.base import ORACLES, QUERIES
 
 MODULES = [
-    "shape", "structure",
+    "shape", "structure", "lexical",
 ]
 
 for _name in MODULES:

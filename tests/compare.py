@@ -47,7 +47,7 @@ def difference(spark_df, con, sql: str) -> str | None:
         return f"columns {sorted(left_cols)} != {sorted(right_cols)}"
     left, right = rows_of(left_cols, left_rows), rows_of(right_cols, right_rows)
     if left == right:
-        return None
+        return None if left else "both empty"
     ls, rs = set(left), set(right)
     only_l, only_r = sorted(ls - rs), sorted(rs - ls)
     return (
