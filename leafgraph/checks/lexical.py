@@ -195,39 +195,43 @@ def l8(spark, d):
     return out.select("doc_id", "page_no", F.col("sent_no").cast("bigint").alias("sent_no"), F.explode("entities").alias("entity"))
 
 
-CTES["cooc"] = """cooc AS (
-  SELECT a.doc_id, a.page_no, a.sent_no, a.entity AS source, b.entity AS target, 'co_occurrence' AS type,
+CTES["cooc"] = """keyed AS (SELECT doc_id, page_no, sent_no, md5(entity) AS key FROM ents),
+  cooc AS (
+  SELECT a.doc_id, a.page_no, a.sent_no, a.key AS source_key, b.key AS target_key, 'co_occurrence' AS type,
     CAST(0.5 AS DOUBLE) AS strength
-  FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.sent_no = b.sent_no
-    AND a.entity < b.entity)"""
+  FROM keyed a JOIN keyed b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.sent_no = b.sent_no
+    AND a.key < b.key)"""
 
 
 @query("L9_cooccurrence", "SELECT * FROM cooc", (*ENT, "cooc"))
 def l9(spark, d):
-    out = lexical.cooccurrence(lexical.entities(lexical.sentences(pages(spark, d))))
+    out = lexical.cooccurrence(lexical.entity_keys(lexical.sentences(pages(spark, d))))
     return out.withColumn("sent_no", F.col("sent_no").cast("bigint"))
 
 
 CTES["relations"] = """relations AS (
-  SELECT u.doc_id, u.page_no, source, target, type, least(sum(strength), 1.0) AS strength,
-    array_to_string(list_sort(list(DISTINCT s.sentence)), '|') AS evidence
-  FROM (SELECT doc_id, page_no, sent_no, source, target, type, strength FROM pattern_rel
-    UNION ALL SELECT doc_id, page_no, sent_no, source, target, type, strength FROM cooc) u
-  JOIN sents s ON s.doc_id = u.doc_id AND s.page_no = u.page_no AND s.sent_no = u.sent_no
-  GROUP BY u.doc_id, u.page_no, source, target, type)"""
+  SELECT doc_id, page_no, source_key, target_key, type, least(sum(strength), 1.0) AS strength,
+    list_sort(list(DISTINCT sent_no)) AS evidence_at
+  FROM (SELECT doc_id, page_no, sent_no, md5(source) AS source_key, md5(target) AS target_key, type, strength
+      FROM pattern_rel UNION ALL SELECT * FROM cooc)
+  GROUP BY doc_id, page_no, source_key, target_key, type)"""
 REL = (*ENT, "pattern_rel", "cooc", "relations")
 
 
 @query(
     "L10_merge_relations",
-    "SELECT doc_id, page_no, source, target, type, round(strength, 6) AS strength, evidence FROM relations",
+    """SELECT doc_id, page_no, source_key, target_key, type, round(strength, 6) AS strength,
+      array_to_string(list_transform(evidence_at, lambda i: CAST(i AS VARCHAR)), '|') AS evidence_at
+    FROM relations""",
     REL,
 )
 def l10(spark, d):
-    p = pages(spark, d)
-    out = lexical.with_evidence(lexical.page_relations(p), p)
+    out = lexical.page_relations(pages(spark, d))
     return out.withColumns(
-        {"strength": F.round("strength", 6), "evidence": F.array_join("evidence", "|")}
+        {
+            "strength": F.round("strength", 6),
+            "evidence_at": F.array_join(F.col("evidence_at").cast("array<string>"), "|"),
+        }
     )
 
 

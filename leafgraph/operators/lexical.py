@@ -132,8 +132,9 @@ def pattern_relations(sents: DataFrame) -> DataFrame:
     )
 
 
-def entity_array(sentence: Column) -> Column:
-    """Names (every tail of a run of capitalised words) and technical terms of a sentence."""
+def _entities(sentence: Column, shape) -> Column:
+    """Names (every tail of a run of capitalised words) and technical terms, each
+    passed through ``shape``."""
     ts = F.regexp_extract_all(sentence, F.lit(P.ENTITY_TOKEN), F.lit(0))
     marked = F.transform(ts, lambda t: F.when(t.rlike(P.CAPITALISED), t).otherwise(F.lit("\u0002")))
     runs = F.filter(
@@ -146,28 +147,37 @@ def entity_array(sentence: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(1), F.size(ws)), lambda i: ~X.is_stop(F.lower(F.element_at(ws, i)))
         )
-        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.size(ws)), " "))
+        return F.transform(starts, lambda i: shape(F.array_join(F.slice(ws, i, F.size(ws)), " ")))
 
     names = F.flatten(F.transform(runs, tails))
-    technical = F.filter(F.transform(ts, F.lower), lambda t: t.rlike(P.TECHNICAL))
+    technical = F.transform(
+        F.filter(F.transform(ts, F.lower), lambda t: t.rlike(P.TECHNICAL)), shape
+    )
     return F.array_sort(F.array_distinct(F.concat(names, technical)))
 
 
 def entities(sents: DataFrame) -> DataFrame:
-    return sents.select(*PAGE, "sent_no", entity_array(F.col("sentence")).alias("entities"))
+    """Entity texts per sentence."""
+    return sents.select(*PAGE, "sent_no", _entities(F.col("sentence"), lambda e: e).alias("entities"))
+
+
+def entity_keys(sents: DataFrame) -> DataFrame:
+    """The same as hashes.  A run of n capitalised words has n tails of up to n words:
+    pairs of texts would grow with the cube of n, pairs of hashes with the square."""
+    return sents.select(*PAGE, "sent_no", _entities(F.col("sentence"), F.md5).alias("entities"))
 
 
-def cooccurrence(entity_table: DataFrame) -> DataFrame:
-    """Every two entities of one sentence, in alphabetical order.
+def cooccurrence(keys: DataFrame) -> DataFrame:
+    """Every two entities of one sentence, as hashes in ascending order.
 
     The pairs leave two nested generators one at a time; no array of pairs is built.
     """
-    firsts = entity_table.filter(F.size("entities") >= 2).select(
-        *PAGE, "sent_no", "entities", F.posexplode("entities").alias("i", "source")
+    firsts = keys.filter(F.size("entities") >= 2).select(
+        *PAGE, "sent_no", "entities", F.posexplode("entities").alias("i", "source_key")
     )
     rest = F.slice("entities", F.col("i") + 2, F.size("entities"))
     return firsts.select(
-        *PAGE, "sent_no", "source", F.explode(rest).alias("target"),
+        *PAGE, "sent_no", "source_key", F.explode(rest).alias("target_key"),
         F.lit("co_occurrence").alias("type"), F.lit(0.5).alias("strength"),
     )
 
@@ -175,10 +185,10 @@ def cooccurrence(entity_table: DataFrame) -> DataFrame:
 def merge_relations(relations: DataFrame, min_strength: float = 0.0) -> DataFrame:
     """One row per page, ends and type: strengths add up to at most 1.
 
-    ``evidence`` is the sentence numbers; the text stays out of the shuffle and is
+    ``evidence_at`` is the sentence numbers; the text stays out of the shuffle and is
     looked up by :func:`with_evidence` where wanted.
     """
-    merged = relations.groupBy(*PAGE, "source", "target", "type").agg(
+    merged = relations.groupBy(*PAGE, "source_key", "target_key", "type").agg(
         F.least(F.sum("strength"), F.lit(1.0)).alias("strength"),
         F.array_sort(F.collect_set("sent_no")).alias("evidence_at"),
     )
@@ -186,19 +196,33 @@ def merge_relations(relations: DataFrame, min_strength: float = 0.0) -> DataFram
 
 
 def page_relations(pages: DataFrame, min_strength: float = 0.0) -> DataFrame:
+    """Pattern and co-occurrence relations of each page, merged, ends as hashes."""
     sents = sentences(pages)
-    both = pattern_relations(sents).unionByName(cooccurrence(entities(sents)))
-    return merge_relations(both, min_strength)
+    stated = pattern_relations(sents).select(
+        *PAGE, "sent_no", F.md5("source").alias("source_key"), F.md5("target").alias("target_key"),
+        "type", "strength",
+    )
+    return merge_relations(stated.unionByName(cooccurrence(entity_keys(sents))), min_strength)
 
 
-def with_evidence(relations: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds the distinct evidence sentences."""
-    picked = F.transform("evidence_at", lambda i: F.element_at(F.col("_sents"), i + 1))
-    return (
-        relations.join(pages.select(*PAGE, X.sentence_array(F.col("text")).alias("_sents")), PAGE)
-        .withColumn("evidence", F.array_sort(F.array_distinct(picked)))
-        .drop("_sents", "evidence_at")
+def relation_names(pages: DataFrame) -> DataFrame:
+    """Text behind each hash of :func:`page_relations`, once per corpus."""
+    sents = sentences(pages)
+    stated = pattern_relations(sents)
+    names = (
+        stated.select(F.col("source").alias("name"))
+        .unionByName(stated.select(F.col("target").alias("name")))
+        .unionByName(entities(sents).select(F.explode("entities").alias("name")))
     )
+    return names.select(F.md5("name").alias("key"), "name").groupBy("key").agg(F.min("name").alias("name"))
+
+
+def with_evidence(relations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds the distinct evidence sentences as text."""
+    at = relations.withColumn("sent_no", F.explode("evidence_at"))
+    text = at.join(sentences(pages), [*PAGE, "sent_no"])
+    keys = [c for c in relations.columns if c != "evidence_at"]
+    return text.groupBy(*keys).agg(F.array_sort(F.collect_set("sentence")).alias("evidence"))
 
 
 def analysis_stats(pages: DataFrame, stemmer: str = "porter") -> DataFrame:
