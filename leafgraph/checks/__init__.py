@@ -5,7 +5,7 @@ from importlib import import_module
 from leafgraph.checks.base import ORACLES, QUERIES
 
 MODULES = [
-    "shape", "structure", "lexical",
+    "shape", "structure", "lexical", "graph",
 ]
 
 for _name in MODULES:
