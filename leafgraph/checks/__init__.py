@@ -5,7 +5,7 @@ from importlib import import_module
 from leafgraph.checks.base import ORACLES, QUERIES
 
 MODULES = [
-    "shape", "structure", "lexical", "graph", "search", "traverse", "enrich",
+    "shape", "structure", "lexical", "graph", "search", "traverse", "enrich", "storage",
 ]
 
 for _name in MODULES:

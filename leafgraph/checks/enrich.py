@@ -229,7 +229,7 @@ def e9(spark, d):
 
 @query(
     "E10_augment_prompts",
-    f"""WITH q AS (SELECT item_id, list_sort(list_distinct({_toks("'The ' || left(text, 20)")})) AS ts FROM benchmark),
+    f"""WITH q AS (SELECT item_id, list_sort(list_distinct({_toks("'The ' || left(text, 200)")})) AS ts FROM benchmark),
       qt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS term FROM q),
       tf AS (SELECT node_id, term, sum(tf) AS tf FROM postings GROUP BY ALL),
       scored AS (SELECT item_id, n, tf.node_id, count(*) AS m, sum({BM25}) AS score FROM qt JOIN tf USING (term)
@@ -249,7 +249,7 @@ def e9(spark, d):
 def e10(spark, d):
     items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return enrich.augment_prompts(
-        items, "The", memo_index(spark, d), memo(spark, d), memo_tags(spark, d), k=3, excerpt=20
+        items, "The", memo_index(spark, d), memo(spark, d), memo_tags(spark, d), k=3
     )
 
 

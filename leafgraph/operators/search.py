@@ -106,14 +106,15 @@ def search(
     phrase: str | None = None,
     fields: list[str] | None = None,
     domain: str | None = None,
-    limit: int = 10,
+    limit: int | None = 10,
     nodes: DataFrame | None = None,
 ) -> DataFrame:
     """``node_id, domain, score`` of the best nodes.
 
     Every term of ``all_terms``, the prefix and the words of the phrase must occur, one
     of ``any_terms`` if there are any, none of ``none_terms``.  A phrase is checked in
-    the text of the nodes (``nodes``) that pass the rest.
+    the text of the nodes (``nodes``) that pass the rest.  Without a limit all hits come
+    back, in no order.
     """
     def norm(ts):
         return list(dict.fromkeys(query_term(t, index.stemmer) for t in ts))
@@ -166,7 +167,8 @@ def search(
     if phrase:
         low = F.contains(F.lower("content"), F.lit(phrase.lower()))
         found = found.join(nodes.filter(low).select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    return found.select("node_id", "domain", "score").orderBy(F.desc("score"), "node_id").limit(limit)
+    found = found.select("node_id", "domain", "score")
+    return found if limit is None else found.orderBy(F.desc("score"), "node_id").limit(limit)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -221,7 +221,10 @@ def write_graph_json(graph: Graph, path: str, exported_at: Column, source: str =
 
 
 def write_graph_csv(graph: Graph, path: str) -> None:
-    options = {"header": "true", "quoteAll": "true", "escape": '"'}
+    options = {
+        "header": "true", "quoteAll": "true", "escape": '"',
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
     memories, relationships = csv_frames(graph)
     memories.write.mode("overwrite").options(**options).csv(f"{path}/memories")
     relationships.write.mode("overwrite").options(**options).csv(f"{path}/relationships")
