@@ -22,7 +22,7 @@ CTES["memo"] = f"""memo AS (
 
 
 def memo(spark, d):
-    return A.table(spark, d, "documents").select(
+    return A.spread(A.table(spark, d, "documents").select("doc_id", "lang", "source", "text")).select(
         F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"),
         F.col("lang").alias("domain"),
         F.lit("page").alias("type"),

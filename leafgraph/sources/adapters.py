@@ -19,14 +19,24 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if the scan has fewer splits than there are cores.
+
+    A file with one row group is one split.  A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def docs(spark: SparkSession, root: str) -> DataFrame:
     """Each document is a document of one page.  Nothing is shuffled."""
-    return table(spark, root, "documents").select(
+    rows = table(spark, root, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.lit(0).alias("page_no"),
         "text",
         F.col("lang").alias("domain"),
     )
+    return spread(rows)
 
 
 def books(spark: SparkSession, root: str) -> DataFrame:
@@ -43,20 +53,22 @@ def books(spark: SparkSession, root: str) -> DataFrame:
 
 def convs(spark: SparkSession, root: str) -> DataFrame:
     """Each conversation is a document; its turns are the pages."""
-    return table(spark, root, "conversations").select(
+    rows = table(spark, root, "conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"),
         F.col("turn").cast("int").alias("page_no"),
         "text",
     )
+    return spread(rows)
 
 
 def html(spark: SparkSession, root: str) -> DataFrame:
     """Ten web pages make a document."""
-    return table(spark, root, "pages").select(
+    rows = table(spark, root, "pages").select(
         F.expr("cast(page_id div 10 as string)").alias("doc_id"),
         F.expr("cast(page_id % 10 as int)").alias("page_no"),
         "html",
     )
+    return spread(rows)
 
 
 TOC_NUMBER = (
