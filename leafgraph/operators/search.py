@@ -97,6 +97,12 @@ def bm25(tf: Column, df: Column, length: Column, nodes: Column, avg: Column, k1=
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
 
 
+def score_of(index: Index) -> Column:
+    """BM25 of a row with ``tf, df, length``; the totals are one scalar subquery."""
+    totals = index.totals.select(F.struct("nodes", "avg_length")).scalar()
+    return bm25(F.col("tf"), F.col("df"), F.col("length"), totals["nodes"], totals["avg_length"])
+
+
 def search(
     index: Index,
     all_terms: list[str] = (),
@@ -130,29 +136,31 @@ def search(
     in_domain = F.lit(True) if domain is None else F.col("domain") == domain
 
     plain = required + optional
+    none = F.array().cast("array<string>")
     wanted = F.col("term").isin(plain)
-    item = F.when(F.col("term").isin(plain), F.array("term")).otherwise(F.array().cast("array<string>"))
+    items = F.when(F.col("term").isin(plain), F.array("term")).otherwise(none)
     if prefix:
         start = query_term(prefix, "none")
-        wanted = wanted | F.col("term").startswith(start)
-        item = F.concat(item, F.when(F.col("term").startswith(start), F.array(F.lit(start + "*"))).otherwise(F.array().cast("array<string>")))
+        starts = F.col("term").startswith(start)
+        wanted = wanted | starts
+        items = F.concat(items, F.when(starts, F.array(F.lit(start + "*"))).otherwise(none))
         required = required + [start + "*"]
-        hits = postings.filter(wanted).withColumn("item", F.explode(item))
-        hits = hits.groupBy("domain", "node_id", "item").agg(F.sum("tf").alias("tf"))
+
+    def hits_of(df: DataFrame) -> DataFrame:
+        found = df.filter(wanted).withColumn("item", F.explode(items))
+        return found.groupBy("domain", "node_id", "item").agg(F.sum("tf").alias("tf"))
+
+    if domain is None or fields or prefix:
+        # df of the items as asked for; it reads the same shuffled counts as the hits.
+        hits = hits_of(postings)
         df = hits.groupBy("item").agg(F.count("*").alias("df"))
         hits = hits.filter(in_domain)
     else:
-        hits = postings.filter(wanted & in_domain).groupBy("domain", "node_id", F.col("term").alias("item")).agg(
-            F.sum("tf").alias("tf")
-        )
+        hits = hits_of(postings.filter(in_domain))
         df = index.term_df.filter(F.col("term").isin(plain)).select(F.col("term").alias("item"), "df")
     # At most one row per word of the query.
     scored = hits.join(F.broadcast(df), "item").join(index.lengths.drop("domain"), "node_id")
-    totals = index.totals
-    score = bm25(
-        F.col("tf"), F.col("df"), F.col("length"),
-        totals.select("nodes").scalar(), totals.select("avg_length").scalar(),
-    )
+    score = score_of(index)
     found = scored.withColumn("s", score).groupBy("node_id", "domain").agg(
         F.sum("s").alias("score"),
         F.sum(F.col("item").isin(required).cast("int") if required else F.lit(0)).alias("_req"),
@@ -192,16 +200,14 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         )
         .filter("known = n")
     )
-    tf = index.postings.groupBy("node_id", "domain", "term").agg(F.sum("tf").alias("tf"))
+    # Of the postings only those of terms that are asked for at all.
+    asked = terms.select("term").distinct()
+    tf = index.postings.join(asked, "term", "left_semi").groupBy("node_id", "term").agg(F.sum("tf").alias("tf"))
     candidates = complete.join(
-        index.postings.select("node_id", F.col("term").alias("anchor")).distinct(), "anchor"
+        tf.select("node_id", F.col("term").alias("anchor")), "anchor"
     ).select("qkey", "n", "node_id", F.explode("ts").alias("t"))
     candidates = candidates.select("qkey", "n", "node_id", "t.term", "t.df")
-    totals = index.totals
-    score = bm25(
-        F.col("tf"), F.col("df"), F.col("length"),
-        totals.select("nodes").scalar(), totals.select("avg_length").scalar(),
-    )
+    score = score_of(index)
     found = (
         candidates.join(tf, ["node_id", "term"])
         .join(index.lengths.drop("domain"), "node_id")
