@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.config import Settings
+from leafgraph.functions.durable import cut
 from leafgraph.operators import graph, shape, structure
 from leafgraph.sources.store import load_graph, save_graph
 
@@ -23,7 +24,8 @@ def sections_of(pages: DataFrame, outline: DataFrame | None = None, settings: Se
     sources = [structure.detect_toc(pages, settings.page_offset)]
     if outline is not None:
         sources.insert(0, structure.outline_toc(outline))
-    toc = structure.toc_tree(structure.resolve_toc(sources), settings.entries_per_block)
+    # The entries are few next to the pages and used three times: found once, kept.
+    toc = cut(structure.toc_tree(cut(structure.resolve_toc(sources)), settings.entries_per_block))
     columns = ["doc_id", "seq", "section_id", "part", "title", "level", "path", "pages", "content"]
     by_toc = structure.toc_sections(toc, pages, settings.entries_per_block, settings.pages_per_part)
     rest = structure.uncovered_pages(pages, toc, settings.entries_per_block, settings.pages_per_part)
@@ -60,8 +62,11 @@ def rebuild(
 ) -> dict[str, DataFrame]:
     """Build the graph of stored pages anew and replace the domain in the store.
 
-    Ids depend on the content only, so a second run writes the same rows.
+    Ids depend on the content only, so a second run writes the same rows.  Sections go
+    into nodes, edges and tags; they are worked out once.
     """
+    pages = pages.select("doc_id", "page_no", "text")
+    sections = cut(sections_of(pages, settings=settings) if sections is None else sections)
     built = graph_of(pages, sections=sections, domain=domain, now=now, settings=settings)
     at = F.current_timestamp() if now is None else now.cast("timestamp")
     built["domains"] = spark.range(1).select(
