@@ -224,9 +224,11 @@ def q14b(spark, d):
     STORE,
 )
 def q15(spark, d):
-    wanted = A.table(spark, d, "documents").select(F.col("source").alias("name")).distinct().unionByName(
-        spark.range(1).select(F.lit("lang-fr").alias("name"))
-    ).withColumn("description", F.lit("from sources"))
+    rows = A.table(spark, d, "documents")
+    french = rows.filter("lang = 'fr'").select(F.concat(F.lit("lang-"), "lang").alias("name"))
+    wanted = rows.select(F.col("source").alias("name")).unionByName(french).distinct().withColumn(
+        "description", F.lit("from sources")
+    )
     out = store.ensure_domain(memo_graph(spark, d)["domains"], wanted, now())
     return out.select("id", "name", F.unix_seconds("last_access").alias("stamp"))
 

@@ -16,7 +16,7 @@ from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.rules import score_by_rules
 from leafgraph.operators.graph import _nodes
-from leafgraph.operators.ordered import ranked
+from leafgraph.operators.ordered import attach, ranked
 from leafgraph.operators.search import Index, index_tokens, search_batch, tag_arrays
 
 PAGE = ["doc_id", "page_no"]
@@ -73,7 +73,7 @@ def toc_window(toc: DataFrame, budget: int = 1024, block: int = 4096) -> DataFra
         F.count("*").alias("n"), (F.sum(F.length("line") + 1) - 1).alias("size")
     )
     ends = (
-        rows.join(sizes, "doc_id")
+        attach(rows, sizes, "doc_id", "i")
         .filter((F.col("i") < budget) | (F.col("i") >= F.col("n") - budget))
         .groupBy("doc_id", "size", "n")
         .agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("r"))
@@ -101,12 +101,10 @@ def build_prompts(
     shortened``.  Pages do not wait for each other: their context is the extractive
     summaries of the pages before.
     """
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("_pages"))
+    documents = pages.groupBy("doc_id").agg(F.count("*").alias("_pages")).join(structure, "doc_id", "left")
     before = previous_summaries(summaries.select(*PAGE, "summary", "shortened"), context)
     rows = (
-        pages.select(*PAGE, "text")
-        .join(counts, "doc_id")
-        .join(structure, "doc_id", "left")
+        attach(pages.select(*PAGE, "text"), documents, "doc_id", "page_no")
         .join(before.select(*PAGE, "previous", "shortened"), PAGE, "left")
     )
     cells = {

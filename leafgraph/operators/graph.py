@@ -13,6 +13,7 @@ from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.ids import edge_id, node_id
 from leafgraph.operators import shape
+from leafgraph.operators.ordered import attach
 from leafgraph.schemas import TAG_STRUCT
 
 PAGE = ["doc_id", "page_no"]
@@ -139,7 +140,7 @@ def build_tags(
     roots = documents.select(
         document_node(space).alias("node_id"), F.array(F.lit("document"), F.lit("root"), F.col("filename")).alias("tags")
     )
-    admitted = shape.admit(pages, min_length).select(*PAGE).join(names, "doc_id")
+    admitted = attach(shape.admit(pages, min_length).select(*PAGE), names, "doc_id", "page_no")
     tags = F.array(F.lit("page"), F.concat(F.lit("page:"), F.col("page_no").cast("string")), F.col("filename"))
     if enrichments is not None:
         extra = enrichments.select(*PAGE, "key_insights", "ontology_tags")

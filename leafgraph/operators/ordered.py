@@ -15,12 +15,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+SALTS = 16
 
 
 def with_block(df: DataFrame, order: str, size: int) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(size)).cast("bigint"))
 
 
+def by_block(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle by key and block, also where the rows already lie together by key alone.
+
+    A window by (key, block) is content with rows hashed by key, which would leave a
+    large key in one task.
+    """
+    return df.repartition(*keys, BLOCK)
+
+
+def attach(df: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join one row per key (``per_key``) to the many rows of that key.
+
+    Rows of a key are divided by ``spread_by`` and the small side is repeated for each
+    share, so that a key with a large part of all rows is joined by many tasks.
+    """
+    left = df.withColumn("_salt", F.pmod(F.col(spread_by), F.lit(SALTS)).cast("int"))
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def _before(keys):
     return W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
 
@@ -45,7 +66,7 @@ def running_sum(
     )
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        df.withColumn("_local", F.sum(value).over(local))
+        by_block(df, keys).withColumn("_local", F.sum(value).over(local))
         .join(totals, [*keys, BLOCK])
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_local", "_offset", BLOCK)
@@ -76,7 +97,7 @@ def last_before(
         *[F.last(f"_end_{n}", ignorenulls=True).over(_before(keys)).alias(f"_in_{n}") for n in values],
     )
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = df.withColumns(
+    out = by_block(df, keys).withColumns(
         {f"_at_{n}": F.last(v, ignorenulls=True).over(local) for n, v in values.items()}
     ).join(carried, [*keys, BLOCK])
     out = out.withColumns({n: F.coalesce(F.col(f"_at_{n}"), F.col(f"_in_{n}")) for n in values})
@@ -101,7 +122,7 @@ def next_after(
         *[F.first(f"_start_{n}", ignorenulls=True).over(_after(keys)).alias(f"_in_{n}") for n in values],
     )
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    out = df.withColumns(
+    out = by_block(df, keys).withColumns(
         {f"_at_{n}": F.first(v, ignorenulls=True).over(local) for n, v in values.items()}
     ).join(carried, [*keys, BLOCK])
     out = out.withColumns({n: F.coalesce(F.col(f"_at_{n}"), F.col(f"_in_{n}")) for n in values})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.ids import short_hash
-from leafgraph.operators.ordered import last_before, next_after, running_sum
+from leafgraph.operators.ordered import attach, last_before, next_after, running_sum
 
 # Lines of one page are numbered below this; the page is above it.
 SEQ_PAGE = 1 << 32
@@ -122,7 +122,7 @@ def parse_toc(lines: DataFrame, formats: DataFrame) -> DataFrame:
         .otherwise(generic)
     )
     return (
-        lines.join(formats, "doc_id")
+        attach(lines, formats, "doc_id", "seq")
         .withColumn("e", entry)
         .select(
             "doc_id",
@@ -285,7 +285,7 @@ def toc_ranges(toc: DataFrame, pages: DataFrame, block: int = 4096) -> DataFrame
     ends = pages.groupBy("doc_id").agg(F.max("page_no").alias("_last"))
     ranged = next_after(toc, ["doc_id"], ["seq"], block, {"_next": F.col("page")})
     return (
-        ranged.join(ends, "doc_id")
+        attach(ranged, ends, "doc_id", "seq")
         .withColumn("end_page", F.coalesce(F.col("_next") - 1, F.col("_last")))
         .filter("page <= end_page")
         .drop("_next", "_last")
