@@ -136,7 +136,10 @@ def s6(spark, d):
     UNION ALL SELECT DISTINCT 'foreign key source', 'edges', source FROM e WHERE source NOT IN (SELECT id FROM n)
     UNION ALL SELECT DISTINCT 'foreign key target', 'edges', target FROM e WHERE target NOT IN (SELECT id FROM n)
     UNION ALL SELECT 'strength range', 'edges', id FROM e WHERE strength < 0 OR strength > 1
-    UNION ALL SELECT 'foreign key domain', 'nodes', 'elsewhere' """,
+    UNION ALL SELECT DISTINCT 'foreign key domain', 'nodes', 'd' || CAST(c_custkey % 3 AS VARCHAR) FROM customer
+      WHERE (c_custkey % 10 > 0 OR c_custkey < 45)
+        AND 'd' || CAST(c_custkey % 3 AS VARCHAR) NOT IN (SELECT 'd' || CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey < 2)
+    """,
 )
 def s8(spark, d):
     g = faulty_graph(spark, d)
@@ -145,19 +148,22 @@ def s8(spark, d):
 
 def faulty_graph(spark, d):
     """Orders as edges from customers to groups: some ends missing, some ids twice, some out of range."""
+    def name(prefix, number):
+        return F.concat(F.lit(prefix), number.cast("string"))
+
     orders = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     orders = orders.unionByName(orders.filter("o_orderkey % 100 = 0"))
     edges = orders.select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source"),
         F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("target"), F.lit("references").alias("type"),
-        (F.col("o_totalprice") / 400000).alias("strength"), F.lit("main").alias("domain"),
+        (F.col("o_totalprice") / 400000).alias("strength"), name("d", F.col("o_orderkey") % 2).alias("domain"),
     )
     customer = A.table(spark, d, "customer").select("c_custkey")
-    key = F.col("c_custkey").cast("string")
-    nodes = customer.filter("c_custkey % 10 > 0").select(key.alias("id"), F.lit("main").alias("domain")).unionByName(
-        customer.filter("c_custkey < 45").select(F.concat(F.lit("c"), key).alias("id"), F.lit("elsewhere").alias("domain"))
+    key, home = F.col("c_custkey"), name("d", F.col("c_custkey") % 3).alias("domain")
+    nodes = customer.filter("c_custkey % 10 > 0").select(key.cast("string").alias("id"), home).unionByName(
+        customer.filter("c_custkey < 45").select(name("c", key).alias("id"), home)
     ).withColumn("content", F.lit("customer"))
-    domains = spark.range(1).select(F.lit("main").alias("id"))
+    domains = A.table(spark, d, "region").filter("r_regionkey < 2").select(name("d", F.col("r_regionkey")).alias("id"))
     tags = nodes.select(F.col("id").alias("node_id"), F.lit("pdf:customer").alias("tag"))
     return {"nodes": nodes, "edges": edges, "tags": tags, "domains": domains}
 
