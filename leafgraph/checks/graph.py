@@ -375,7 +375,7 @@ def g13(spark, d):
 @query(
     "G14_update_summaries",
     f"""SELECT {PAGE} AS id, CASE WHEN page_no % 2 = 0 THEN {FIRST_SENTENCE} END AS content_summary,
-      CASE WHEN page_no % 2 = 0 THEN {AS_OF} END AS summary_at FROM docs""",
+      CASE WHEN page_no % 2 = 0 THEN CAST({AS_OF} AS BIGINT) END AS summary_at FROM docs""",
     ("conv_docs",),
 )
 def g14(spark, d):

@@ -224,7 +224,7 @@ def q14b(spark, d):
 @query(
     "Q15_ensure_domain",
     f"""WITH wanted AS (SELECT DISTINCT source AS name FROM documents UNION SELECT 'lang-fr')
-    SELECT 'lang-' || id AS name, CASE WHEN 'lang-' || id IN (SELECT name FROM wanted) THEN {NOW} ELSE {EPOCH} END AS stamp,
+    SELECT 'lang-' || id AS name, CASE WHEN 'lang-' || id IN (SELECT name FROM wanted) THEN CAST({NOW} AS BIGINT) ELSE {EPOCH} END AS stamp,
       id FROM dom
     UNION ALL SELECT name, {NOW}, md5('domain|' || name) FROM wanted WHERE name NOT IN (SELECT 'lang-' || id FROM dom)""",
     STORE,
