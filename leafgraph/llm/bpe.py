@@ -25,7 +25,7 @@ from leafgraph.llm import text_arrays as A
 from leafgraph.llm.word_ids import WordIds, per_document
 
 #: Bytes of words given to one recursive query.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 #: Words of more bytes than this are contracted at all equal pairs at once.
 LONG_WORD = 64
@@ -113,7 +113,7 @@ class Merger:
             if a in ranks and b in ranks
         ]
         early = {x for a, b, n in rows for x in (a, b) if x > n}
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "350MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "200MB"})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = pa.table({
             "pair": pa.array([a * 65536 + b for a, b, _ in rows], pa.int64()),
@@ -175,55 +175,65 @@ def worker(path: str) -> tuple[Merger, WordIds]:
     return merger, WordIds(merger.encode)
 
 
-def _encode_batches(path: str):
+def _encoded(batch: pa.RecordBatch, known: WordIds):
+    """(first, last, ids) of runs of documents, the ids as one list a document."""
+    data, off = A.utf8(batch.column("text"))
+    for i, j in A.runs(off):
+        own, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
+        s, e = A.pretokens(own, o)
+        start, length = known.of(own, s, e)
+        edge = np.concatenate([[0], np.cumsum(per_document(length, o, s))])
+        yield i, j, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(known.gather(start, length)))
+
+
+def _decoded(column: pa.ListArray, merger: Merger, known: dict[int, bytes]) -> pa.Array:
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    out = []
+    for i, j in A.runs(off, A.RUN_BYTES // 4):
+        ids = flat[off[i]:off[j]]
+        new = np.array([x for x in np.unique(ids).tolist() if x not in known], np.int32)
+        if len(new):
+            known.update(zip(new.tolist(), merger.decode(np.ones(len(new), np.int64), new)))
+        tokens = list(map(known.__getitem__, ids.tolist()))
+        edge = (off[i:j + 1] - off[i]).tolist()
+        out += [b"".join(tokens[a:b]) for a, b in zip(edge, edge[1:])]
+    return pa.array(out, pa.binary())
+
+
+def _batches(path: str, with_encode: bool, with_decode: bool):
     def run(batches):
-        _, known = worker(path)
+        merger, words = worker(path)
+        tokens: dict[int, bytes] = {}
         for batch in batches:
-            data, off = A.utf8(batch.column("text"))
-            key = batch.column("doc_id")
-            for i, j in A.runs(off):
-                own, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
-                s, e = A.pretokens(own, o)
-                start, length = known.of(own, s, e)
-                edge = np.concatenate([[0], np.cumsum(per_document(length, o, s))])
-                ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(known.gather(start, length)))
-                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), ids], names=["doc_id", "ids"])
+            parts = _encoded(batch, words) if with_encode else [(0, batch.num_rows, batch.column("ids"))]
+            for i, j, ids in parts:
+                columns = {"doc_id": batch.column("doc_id").slice(i, j - i), "ids": ids}
+                if with_decode:
+                    columns["decoded"] = _decoded(ids, merger, tokens)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode_batches(vocabulary), "doc_id long, ids array<int>")
-
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _decode_batches(path: str):
-    def run(batches):
-        merger, _ = worker(path)
-        known: dict[int, bytes] = {}
-        for batch in batches:
-            column = batch.column("ids")
-            off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
-            flat = column.values.to_numpy(zero_copy_only=False)
-            for i, j in A.runs(off, A.RUN_BYTES // 4):
-                ids = flat[off[i]:off[j]]
-                new = np.array([x for x in np.unique(ids).tolist() if x not in known], np.int32)
-                if len(new):
-                    known.update(zip(new.tolist(), merger.decode(np.ones(len(new), np.int64), new)))
-                tokens = list(map(known.__getitem__, ids.tolist()))
-                edge = (off[i:j + 1] - off[i]).tolist()
-                whole = [b"".join(tokens[a:b]) for a, b in zip(edge, edge[1:])]
-                rest = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(whole, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return run
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text)."""
+    return _texts(docs).mapInArrow(_batches(vocabulary, True, False), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids) with ``decoded``, the bytes the ids stand for. Null ids give no bytes."""
     rows = rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(_decode_batches(vocabulary), "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(_batches(vocabulary, False, True), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, with one merge table a worker."""
+    return _texts(docs).mapInArrow(_batches(vocabulary, True, True), "doc_id long, ids array<int>, decoded binary")
 
 
 def ids_text(ids: str) -> Column:

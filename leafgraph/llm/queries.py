@@ -40,7 +40,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from leafgraph.llm import bpe
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks), ranks)
+    decoded = bpe.round_trip(table(spark, folder, "documents"), ranks)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
