@@ -61,3 +61,36 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op6_multi_index")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import multi_index
+
+    return multi_index.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
+VALID = """
+valid AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+"""
+
+
+@query(
+    "op9_knn_join",
+    f"""
+WITH {VALID},
+whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM valid),
+scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+    FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import knn_join
+
+    return knn_join.knn_join(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
