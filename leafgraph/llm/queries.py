@@ -94,3 +94,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from leafgraph.llm import knn_join
 
     return knn_join.knn_join(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op7_near_copies")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import near_dedup
+
+    return near_dedup.near_copies(table(spark, folder, "documents"), words=2)
