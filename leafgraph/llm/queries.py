@@ -101,3 +101,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from leafgraph.llm import near_dedup
 
     return near_dedup.near_copies(table(spark, folder, "documents"), words=2)
+
+
+@query("op5_repeats")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import repeats
+
+    found = repeats.cut_out(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand in the corpus more than once, but for their first place."""
+    """Texts without the passages that stand in the corpus more than once."""
     from leafgraph.llm import repeats
 
     return repeats.without_repeats(docs).select(*COLUMNS)
