@@ -113,3 +113,16 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import personal_data as P
+
+    found = P.personal_spans(table(spark, folder, "documents"))
+
+    def number(kind: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    n = [number(i).alias(f"n_{k}") for i, k in enumerate(P.KINDS)]
+    return found.select("doc_id", *n, F.sha2(P.listed("base"), 256).alias("base_sha256"), P.listed("spans").alias("spans"))
