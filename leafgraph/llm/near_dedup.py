@@ -7,11 +7,13 @@ signatures are compared batch by batch; a pair is dropped as soon as the posteri
 probability that its similarity reaches the threshold, given the agreements so far and a
 flat prior, is below ``MISS``. Survivors are confirmed on their full sets.
 
-Buckets of a band can hold any number of classes, so pairs are not formed within them. In
-each round a bucket's first members are compared with its other ones, unless both are known
-to be connected; then they leave the bucket. A bucket ends when what is left in it is
-connected. A group of near copies so costs one comparison a member, not one a pair, and no
-pair that could join two components is left out.
+Buckets of a band can hold any number of classes, so pairs are not formed within them. First
+every member is compared with the member that shares most bands with others, as the original
+of a group of edited copies does: one pair a member. What is then known to be connected is
+not compared again. In each bucket the members outside its first member's component meet
+all others that they are not connected with, in blocks, and in the first band that two share
+only; blocks give links, not pairs. So a group of near copies costs one comparison a member
+and what its stragglers need, and no pair that could join two components is left out.
 
 Null texts count as empty; a document without words is linked with nothing. Rows with a null
 doc_id are linked with nothing and kept. Rows with equal doc_id are one document in as far
@@ -25,21 +27,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leafgraph.functions.durable import cut
 from leafgraph.llm import text_arrays as A
+from leafgraph.llm.repeats import packed
 
-#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 5e-8 at 0.8.
-BANDS, ROWS = 32, 4
+#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3e-6 at 0.8, 7e-9 at 0.85.
+BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 #: The probability at which a pair is given up though its similarity may reach the threshold.
 MISS = 1e-7
-#: Members of a bucket compared with the others in the first, second, ... round, and in all later ones.
-PIVOTS = (1, 8, 64, 512)
+#: Members of a bucket that meet at a time.
+BLOCK = 512
 
 
 @lru_cache(1)
@@ -105,16 +108,21 @@ def _sketch_batches(words: int):
     return run
 
 
+def _band_keys(sign: np.ndarray) -> np.ndarray:
+    """The key of each band's bucket, a row for each signature."""
+    sign = sign.reshape(-1, BANDS, ROWS)
+    key = np.zeros((len(sign), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :]
+    for r in range(ROWS):
+        key = A.finish(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
+    return key.view(np.int64)
+
+
 def _band_batches(batches):
     for batch in batches:
         n = batch.num_rows
-        if not n:
-            continue
-        sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, BANDS, ROWS)
-        key = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :]
-        for r in range(ROWS):
-            key = A.finish(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("rep").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "rep"])
+        if n:
+            key = _band_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("rep").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "rep"])
 
 
 @lru_cache(4)
@@ -153,24 +161,106 @@ def _prune_batches(threshold: float, miss: float):
     return run
 
 
+def set_of(packed_text: bytes, words: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(packed_text), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]), words)[0]
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm_batches(words: int, percent: int):
     """Pairs whose full sets reach the threshold."""
 
     def run(batches):
         for batch in batches:
+            known: dict = {}
             found = []
-            (da, oa), (db, ob) = A.utf8(batch.column("ta")), A.utf8(batch.column("tb"))
             for i in range(batch.num_rows):
-                x, _ = shingle_sets(da[oa[i]:oa[i + 1]], np.array([0, oa[i + 1] - oa[i]]), words)
-                y, _ = shingle_sets(db[ob[i]:ob[i + 1]], np.array([0, ob[i + 1] - ob[i]]), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if len(x) and len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+                sets = []
+                for n, t in (("a", "ta"), ("b", "tb")):
+                    key = batch.column(n)[i].as_py()
+                    if key not in known:
+                        if len(known) > 200:
+                            known.clear()
+                        known[key] = set_of(batch.column(t)[i].as_py(), words)
+                    sets.append(known[key])
+                if reaches(*sets, percent):
                     found.append(i)
             yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
     return run
 
 
+def _meet_batches(words: int, percent: int, threshold: float):
+    """Links between the left and right rows of each (key, a, t), by which the rows are sorted.
+
+    Pairs known to be connected are left out, and pairs that share an earlier band. A row
+    of the left needs no second link into a component.
+    """
+
+    def links(table: pa.Table):
+        left = table["left"].to_numpy(zero_copy_only=False)
+        rep, comp = table["rep"].to_numpy(), table["least"].to_numpy()
+        sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        key = table["key"].to_numpy()[0]
+        keys = _band_keys(sign)
+        band = int(np.flatnonzero((keys == key).all(0))[0])
+        within = table["t"].to_numpy()[0] < 0 and table["a"].to_numpy()[0] == -1 - table["t"].to_numpy()[0]
+        ask, meet = np.flatnonzero(left), np.flatnonzero(left if within else ~left)
+        texts, sets, out = table["packed"], {}, []
+        least = least_agreements(threshold, MISS)
+        for i in ask.tolist():
+            others = meet[comp[meet] != comp[i]]
+            if within:
+                others = others[others > i]
+            others = others[~(keys[others, :band] == keys[i, :band]).any(1)] if band else others
+            m = np.zeros(len(others), np.int64)
+            for k, floor in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                m += (sign[others, part] == sign[i, part]).sum(1)
+                others, m = others[m >= floor], m[m >= floor]
+            done = set()
+            for j in others[np.argsort(-m, kind="stable")].tolist():
+                if comp[j] in done:
+                    continue
+                for x in (i, j):
+                    if x not in sets:
+                        sets[x] = set_of(texts[x].as_py(), words)
+                if reaches(sets[i], sets[j], percent):
+                    done.add(comp[j])
+                    out.append((rep[i], rep[j]))
+        return out
+
+    def batch_of(pairs):
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                table = pa.Table.from_batches([part])
+                table = table if held is None else pa.concat_tables([held, table])
+                edge = _group_edges(table)
+                held = table.slice(edge[-2])
+                yield batch_of([x for a, b in zip(edge[:-2], edge[1:-1]) for x in links(table.slice(a, b - a))])
+        if held is not None:
+            yield batch_of(links(held))
+
+    return run
+
+
+def _group_edges(table: pa.Table) -> list[int]:
+    k, a, t = (table[c].to_numpy() for c in ("key", "a", "t"))
+    new = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (t[1:] != t[:-1])
+    return [0, *(np.flatnonzero(new) + 1).tolist(), len(k)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node that each node of the links (a, b) is connected with.
 
@@ -199,34 +289,51 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     reps = cut(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.first("signature").alias("signature")))
     members = reps.mapInArrow(_band_batches, "key long, rep long").distinct()
     members = cut(members)
-    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut(members.join(cut(many), "key", "left_semi"))
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(cut(many), "key"))
+    weights = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
+    members = members.join(weights, "rep").select("key", "rep", "weight")
     # Texts of the candidates only; their sets are made where a pair is confirmed.
-    asked = cut(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = cut(rows.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    of = cut(reps.select(F.col("rep").alias("node"), F.col("rep").alias("least")))
+    asked = cut(members.select("rep").distinct())
+    texts = rows.join(asked, rows.doc_id == asked.rep, "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text"))
+    texts = cut(packed(texts))
     threshold = percent / 100
-    for step in range(64):
-        pivots = PIVOTS[min(step, len(PIVOTS) - 1)]
-        now = members.join(of.withColumnRenamed("node", "rep"), "rep")
-        mixed = now.groupBy("key").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low <> high").select("key")
-        members = cut(now.join(cut(mixed), "key", "left_semi"))
-        if members.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("rep")
-        first = cut(members.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots).select("key", F.col("rep").alias("a"), F.col("least").alias("la")))
-        pairs = members.join(first, "key").where((F.col("rep") > F.col("a")) & (F.col("least") != F.col("la")))
-        pairs = cut(pairs.select("a", F.col("rep").alias("b")).distinct())
-        signed = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-        alike = cut(signed.mapInArrow(_prune_batches(threshold, MISS), "a long, b long"))
-        whole = alike.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        links = cut(whole.mapInArrow(_confirm_batches(words, percent), "a long, b long"))
-        if not links.isEmpty():
-            joined = links.join(of.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
-            moved = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")).select(F.col("node").alias("least"), F.col("least").alias("to"))
-            of = cut(of.join(moved, "least", "left").select("node", F.coalesce("to", "least").alias("least")))
-        members = members.join(first.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-    named = classes.join(of.withColumnRenamed("node", "rep"), "rep").select("s1", "s2", "least")
+    first = cut(members.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a")))
+    pairs = members.join(first, "key").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    pairs = cut(pairs.distinct())
+    sign = lambda n, s: reps.select(F.col("rep").alias(n), F.col("signature").alias(s))
+    alike = cut(pairs.join(sign("a", "sa"), "a").join(sign("b", "sb"), "b").mapInArrow(_prune_batches(threshold, MISS), "a long, b long"))
+    text = lambda n, t: texts.select(F.col("rep").alias(n), F.col("packed").alias(t))
+    links = cut(alike.join(text("a", "ta"), "a").join(text("b", "tb"), "b").mapInArrow(_confirm_batches(words, percent), "a long, b long"))
+    of = components(links)
+    # Members that are not connected with their bucket's first meet all others there.
+    label = lambda n, c: of.select(F.col("node").alias(n), F.col("least").alias(c))
+    now = members.select("key", "rep").join(label("rep", "least"), "rep", "left").select("key", "rep", F.coalesce("least", "rep").alias("least"))
+    main = first.join(label("a", "main"), "a", "left").select("key", F.coalesce("main", "a").alias("main"))
+    now = now.join(cut(main), "key").withColumn("asks", F.col("least") != F.col("main")).drop("main")
+    size = lambda asks: F.ceil(F.count(F.when(F.col("asks") == asks, 1)) / BLOCK).cast("int")
+    sizes = cut(now.groupBy("key").agg(size(True).alias("askers"), size(False).alias("others")).where("askers > 0"))
+    now = now.join(sizes, "key")
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("others"))).cast("int")
+    now = now.withColumn("own", block)
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda a, t, left: F.struct(a.cast("int").alias("a"), t.cast("int").alias("t"), F.lit(left).alias("left"))
+    zero, own = F.lit(0), F.col("own")
+    meets = F.when(
+        F.col("asks"),
+        F.concat(
+            F.transform(each(F.col("others")), lambda t: place(own, t, True)),
+            F.transform(F.filter(each(F.col("askers")), lambda u: u >= own), lambda u: place(own, -1 - u, True)),
+            F.transform(F.filter(each(F.col("askers")), lambda u: u < own), lambda u: place(u, -1 - own, False)),
+        ),
+    ).otherwise(F.transform(each(F.col("askers")), lambda u: place(u, own, False)))
+    now = now.select("key", "rep", "least", F.explode(meets).alias("x")).select("key", "x.a", "x.t", "x.left", "rep", "least")
+    now = now.join(reps, "rep").join(texts, "rep").select("key", "a", "t", "left", "rep", "least", "signature", "packed")
+    order = ["key", "a", "t"]
+    now = now.repartition(*order).sortWithinPartitions(*order)
+    more = cut(now.mapInArrow(_meet_batches(words, percent, threshold), "a long, b long"))
+    of = components(links.unionByName(more)).select(F.col("node").alias("rep"), "least")
+    named = classes.join(of, "rep", "left").select("s1", "s2", F.coalesce("least", "rep").alias("least"))
     found = sketch.select("doc_id", "n_shingles", "s1", "s2").join(cut(named), ["s1", "s2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", "n_shingles", own.alias("component_id"))
