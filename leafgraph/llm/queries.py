@@ -126,3 +126,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
     n = [number(i).alias(f"n_{k}") for i, k in enumerate(P.KINDS)]
     return found.select("doc_id", *n, F.sha2(P.listed("base"), 256).alias("base_sha256"), P.listed("spans").alias("spans"))
+
+
+@query("op3_pitman_yor")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import pitman_yor
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return pitman_yor.score(table(spark, folder, "documents"), held_out)
