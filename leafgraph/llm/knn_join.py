@@ -76,9 +76,7 @@ def knn_join(rows: DataFrame, is_query: str, k: int = 20, scale: int = 64, pivot
     """
     data = quantised(vectors(rows), scale)
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").distinct().orderBy("v").collect()
-    centre = np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), -1)
-    if not len(chosen):
-        centre = np.zeros((1, 1))
+    centre = np.array([r["v"] for r in chosen], np.float64) if chosen else np.zeros((1, 1))
     data = cut(data.mapInArrow(_group_batches(centre), "vec_id long, v array<long>, group int, distance double"))
     first = Window.partitionBy("group").orderBy("distance", "vec_id")
     near = data.select("group", "distance", "vec_id").withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1).select("group", "distance").collect()
