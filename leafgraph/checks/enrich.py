@@ -257,10 +257,9 @@ def e10(spark, d):
     "E11_results_to_nodes",
     f"""SELECT md5('documents|' || doc_id || '|metadata|result:' || CAST(page_no AS VARCHAR) || ':'
         || md5('Summarize|' || {FIRST_SENTENCE})) AS id,
-      'AI Processing Result:' || {NL} || {NL} || 'Original Content:' || {NL} || left(text, 500)
-        || CASE WHEN length(text) > 500 THEN '...' ELSE '' END || {NL} || {NL} || 'Prompt:' || {NL} || 'Summarize' || {NL} || {NL}
+      'AI Processing Result:' || {NL} || {NL} || 'Original Content:' || {NL} || text || {NL} || {NL} || 'Prompt:' || {NL} || 'Summarize' || {NL} || {NL}
         || 'Result:' || {NL} || {FIRST_SENTENCE} AS content,
-      '/ai_results' AS path, left({FIRST_SENTENCE}, 200) AS content_summary FROM convs""",
+      '/ai_results' AS path, {FIRST_SENTENCE} AS content_summary FROM convs""",
     ("convs",),
 )
 def e11(spark, d):

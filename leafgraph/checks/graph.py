@@ -129,9 +129,10 @@ CTES["a_edges"] = f"""a_edges AS (
     UNION ALL SELECT {PAGE}, {NEXT}, 'precedes', 1.0, 'Sequential page order in document' FROM docs p WHERE {_HAS_NEXT}
     UNION ALL SELECT {RAW}, {RAW_NEXT}, 'precedes', 1.0, 'Sequential page order in document' FROM docs p WHERE {_HAS_NEXT}
     UNION ALL SELECT {PAGE}, {TERM}, 'contains', round(significance, 6), '' FROM key_terms
-    UNION ALL SELECT {_SRC}, {_DST}, CASE type {_MAP} ELSE 'relates_to' END, round(strength, 6),
-      array_to_string(list_transform(evidence_at, lambda s: doc_id || ':' || CAST(page_no AS VARCHAR) || ':'
-        || CAST(s AS VARCHAR)), '|') FROM relations
+    UNION ALL SELECT source, target, type, round(least(sum(strength), 1.0), 6), min_by(evidence, (doc_id, page_no, evidence)) FROM (
+      SELECT {_SRC} AS source, {_DST} AS target, CASE type {_MAP} ELSE 'relates_to' END AS type, strength, doc_id, page_no,
+        array_to_string(list_transform(evidence_at, lambda s: doc_id || ':' || CAST(page_no AS VARCHAR) || ':'
+          || CAST(s AS VARCHAR)), '|') AS evidence FROM relations) GROUP BY source, target, type
     UNION ALL SELECT {SUM}, {PAGE}, 'summarizes', 0.9, 'Generated by semantic analysis' FROM docs
     UNION ALL SELECT {SUM}, {SUM_NEXT}, 'precedes', 1.0, 'Sequential page order in document' FROM docs p WHERE {_HAS_NEXT})"""
 
@@ -156,7 +157,7 @@ CTES["g_tags"] = f"""g_tags AS (SELECT DISTINCT node_id, CASE WHEN tag LIKE 'pdf
     UNION ALL SELECT {PAGE}, unnest(['page', 'page:' || CAST(page_no AS VARCHAR), doc_id || '.pdf']) FROM g_pages
     UNION ALL SELECT {PAGE}, 'ontology:' || domain FROM g_pages
     UNION ALL SELECT {PAGE}, 'insight:' || w FROM (
-      SELECT doc_id, page_no, unnest(list_slice(string_split(text, ' '), 1, 3)) AS w FROM g_pages)
+      SELECT doc_id, page_no, unnest(string_split(text, ' ')) AS w FROM g_pages)
     UNION ALL SELECT {SECTION}, unnest(['section', 'section:' || CAST(level AS VARCHAR), title]) FROM g_sections))"""
 
 
@@ -453,7 +454,7 @@ _SHORT = "left(regexp_split_to_array(text, '[.!?]\\s+')[1], 120)"
 @query(
     "G17_apply_enrichment",
     f"""SELECT doc_id, page_no, CASE WHEN page_no % 2 = 0 AND {_SHORT} <> '' THEN '# Semantic Summary' || {NL} || {NL}
-        || {_SHORT} || {NL} || {NL} || '# Original Content' || {NL} || {NL} || left(text, 2000) ELSE text END AS content,
+        || {_SHORT} || {NL} || {NL} || '# Original Content' || {NL} || {NL} || text ELSE text END AS content,
       CASE WHEN page_no % 2 = 0 THEN array_to_string(list_slice(string_split(text, ' '), 1, 2), '|') END AS concepts
     FROM books""",
     ("books",),

@@ -172,13 +172,19 @@ def q2b(spark, d):
     return out.select("node_id", F.round("score", 6).alias("score"))
 
 
+_PHRASE = " OR ".join(
+    f"EXISTS (SELECT 1 FROM (SELECT {_toks('m.' + c)} AS t) WHERE len(list_filter(t, lambda x, i: x = 'in' AND t[i + 1] = 'the')) > 0)"
+    for c in ("content", "content_summary", "path")
+)
+
+
 @query(
     "Q2_search_phrase_tags",
     f"""WITH hits AS (SELECT node_id, domain, term, sum(tf) AS tf FROM postings WHERE term IN ('in', 'the') GROUP BY ALL),
       scored AS (SELECT h.node_id, sum({BM25}) AS score, count(*) AS n FROM hits h JOIN term_df USING (term)
         JOIN lengths l ON l.node_id = h.node_id GROUP BY h.node_id),
       top AS (SELECT node_id, score FROM scored s JOIN memo m ON m.id = s.node_id
-        WHERE n = 2 AND contains(lower(m.content), 'in the') ORDER BY score DESC, node_id LIMIT 7)
+        WHERE n = 2 AND ({_PHRASE}) ORDER BY score DESC, node_id LIMIT 7)
     SELECT node_id AS id, round(score, 6) AS score,
       (SELECT string_agg(tag, '|' ORDER BY tag) FROM memo_tags t WHERE t.node_id = top.node_id) AS tags FROM top""",
     MEMO_INDEX,

@@ -47,10 +47,15 @@ def p2(spark, d):
       SELECT doc_id, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN array_to_string(list_transform(
         string_split(text, {NL}), lambda x, i: 'Page ' || CAST(i AS VARCHAR) || {NL} || x), {NL})
         ELSE text END AS text FROM docs),
-    pieces AS (
-      SELECT doc_id, unnest(string_split(
-        regexp_replace(text, {lit(P.PAGE_MARKER)}, chr(1) || '\\1', 'g'), chr(1))) AS piece
+    rows AS (SELECT doc_id, unnest(string_split(text, {NL})) AS row,
+        generate_subscripts(string_split(text, {NL}), 1) AS i
       FROM marked WHERE regexp_matches(text, {lit(P.PAGE_MARKER)})),
+    numbered AS (SELECT *, sum(CASE WHEN regexp_matches(row, '^Page \\d+') THEN 1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY i) AS part FROM rows),
+    joined AS (SELECT doc_id, part, string_agg(row, {NL} ORDER BY i) AS piece,
+        part = max(part) OVER (PARTITION BY doc_id) AS last FROM numbered WHERE part > 0 GROUP BY doc_id, part),
+    pieces AS (SELECT doc_id, CASE WHEN last AND suffix(piece, {NL}) THEN left(piece, length(piece) - 1)
+      ELSE piece END AS piece FROM joined),
     parts AS (SELECT doc_id, string_split(text, {NL}) AS rows FROM marked
       WHERE NOT regexp_matches(text, {lit(P.PAGE_MARKER)})),
     sized AS (SELECT doc_id, rows, greatest(1, len(rows) // 2) AS size FROM parts),
@@ -60,8 +65,8 @@ def p2(spark, d):
     full_pages AS (SELECT doc_id, page_no, string_agg(row, {NL} ORDER BY i) AS text
       FROM cut GROUP BY ALL)
     SELECT doc_id, CAST(regexp_extract(piece, '^Page (\\d+)', 1) AS BIGINT) - 1 AS page_no,
-      regexp_replace(piece, '\\n$', '') AS text
-    FROM pieces WHERE regexp_matches(piece, '^Page \\d+')
+      piece AS text
+    FROM pieces
     UNION ALL
     SELECT p.doc_id, CAST(g.page_no AS BIGINT), coalesce(f.text, '')
     FROM parts p CROSS JOIN (SELECT unnest([0, 1]) AS page_no) g

@@ -47,7 +47,7 @@ CTES["toc_found"] = f"""first_toc AS (
     UNION ALL
     SELECT n.doc_id, n.page_no, n.text FROM toc_flags n JOIN first_toc t ON t.doc_id = n.doc_id
       JOIN toc_flags f ON f.doc_id = t.doc_id AND f.page_no = t.first_no
-    WHERE n.page_no BETWEEN t.first_no + 1 AND t.first_no + 3
+    WHERE n.page_no > t.first_no
       AND regexp_matches(lower(list_last(string_split({clean_sql('f.text')}, {NL}))), 'continued|cont\\.')
       AND n.follows AND NOT EXISTS (
         SELECT 1 FROM toc_flags x WHERE x.doc_id = n.doc_id AND NOT x.follows

@@ -56,7 +56,7 @@ HEADING_KEYWORDS = [
     "appendix", "references", "bibliography", "glossary", "index", "acknowledgments",
 ]
 
-PAGE_MARKER = r"(?m)^(Page \d+)"
+PAGE_MARKER = r"(?:^|\n)(Page \d+)"
 
 # --- words ------------------------------------------------------------------
 

@@ -296,17 +296,22 @@ def augment_prompts(
     )
 
 
-def results_to_nodes(results: DataFrame, space: str = Settings.domain) -> tuple[DataFrame, DataFrame]:
-    """Nodes and tags for answers worth keeping: ``doc_id, page_no, content, prompt, result``."""
+def results_to_nodes(results: DataFrame, space: str = Settings.domain, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and tags for answers worth keeping: ``doc_id, page_no, content, prompt, result``.
+
+    With ``keep`` only so many characters of the content are stored.
+    """
+    some = F.col("content")
+    if keep is not None:
+        some = F.concat(F.left("content", F.lit(keep)), F.when(F.length("content") > keep, "...").otherwise(""))
     text = F.concat(
-        F.lit("AI Processing Result:\n\nOriginal Content:\n"), F.left("content", F.lit(500)),
-        F.when(F.length("content") > 500, "...").otherwise(""),
+        F.lit("AI Processing Result:\n\nOriginal Content:\n"), some,
         F.lit("\n\nPrompt:\n"), "prompt", F.lit("\n\nResult:\n"), "result",
     )
     key = F.concat_ws(":", F.lit("result"), "page_no", F.md5(F.concat_ws("|", "prompt", "result")))
     nodes = _nodes(
         results, space, "metadata", key, content=text, path=F.lit("/ai_results"),
-        content_summary=F.left("result", F.lit(200)),
+        content_summary=F.col("result"),
     )
     tags = nodes.select(
         F.col("id").alias("node_id"), F.explode(F.array(F.lit("pdf:ai_result"), F.lit("pdf:processed"))).alias("tag")

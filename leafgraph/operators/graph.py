@@ -133,9 +133,9 @@ def structural_edges(
 def build_tags(
     documents: DataFrame, pages: DataFrame, sections: DataFrame | None = None,
     enrichments: DataFrame | None = None, space: str = Settings.domain, prefix: str = "pdf:",
-    min_length: int = 50,
+    min_length: int = 50, insights: int | None = None, topics: int | None = None,
 ) -> DataFrame:
-    """Tags of every node, prefixed once."""
+    """Tags of every node, prefixed once; of a page's insights and ontology tags the first so many, or all."""
     names = documents.select("doc_id", "filename")
     roots = documents.select(
         document_node(space).alias("node_id"), F.array(F.lit("document"), F.lit("root"), F.col("filename")).alias("tags")
@@ -147,10 +147,11 @@ def build_tags(
         admitted = admitted.join(extra, PAGE, "left")
 
         def top(c, n, label):
-            some = F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n)
+            some = F.coalesce(c, F.array().cast("array<string>"))
+            some = some if n is None else F.slice(some, 1, n)
             return F.transform(some, lambda t: F.concat(F.lit(label), t))
 
-        tags = F.concat(tags, top("key_insights", 3, "insight:"), top("ontology_tags", 5, "ontology:"))
+        tags = F.concat(tags, top("key_insights", insights, "insight:"), top("ontology_tags", topics, "ontology:"))
     parts = [roots, admitted.select(page_node(space).alias("node_id"), tags.alias("tags"))]
     if sections is not None:
         kept = sections.filter(F.length(X.clean(F.col("content"))) >= min_length)
@@ -236,7 +237,12 @@ def analysis_edges(
     pages: DataFrame, key_terms: DataFrame, relations: DataFrame | None = None,
     summaries: DataFrame | None = None, space: str = Settings.domain,
 ) -> DataFrame:
-    """Edges of the analysis graph.  Evidence of a relation is ``page:sentence`` pointers."""
+    """Edges of the analysis graph.
+
+    Concepts belong to the whole space, so a relation found on several pages is one edge:
+    strengths add up to 1 at most.  Its evidence is ``page:sentence`` pointers to the first
+    of these pages, and with them to all that is needed to find it.
+    """
     chain = precedes(pages)
     order = F.array(F.lit("Sequential page order in document"))
     origin = F.array(F.lit("Markdown content directly extracted from document"))
@@ -253,10 +259,19 @@ def analysis_edges(
         pointers = F.transform(
             "evidence_at", lambda s: F.concat_ws(":", "doc_id", F.col("page_no").cast("string"), s.cast("string"))
         )
+        merged = (
+            relations.withColumns({"type": map_relation_type(F.col("type")), "_at": pointers})
+            .groupBy("source_key", "target_key", "type")
+            .agg(
+                F.least(F.sum("strength"), F.lit(1.0)).alias("strength"),
+                F.min(F.struct("doc_id", "page_no", F.col("_at").alias("at"))).alias("_first"),
+            )
+            .withColumn("_at", F.col("_first.at"))
+        )
         parts.append(
             make_edges(
-                relations, concept_node(space, F.col("source_key")), concept_node(space, F.col("target_key")),
-                map_relation_type(F.col("type")), F.col("strength"), F.col("strength"), pointers, space,
+                merged, concept_node(space, F.col("source_key")), concept_node(space, F.col("target_key")),
+                F.col("type"), F.col("strength"), F.col("strength"), F.col("_at"), space,
             )
         )
     if summaries is not None:
@@ -482,6 +497,12 @@ def link_documents(pairs: DataFrame, kind: str = "related_to", strength: float =
     return make_edges(pairs, F.col("source"), F.col("target"), kind, strength, space=space)
 
 
+def one_per_id(edges: DataFrame) -> DataFrame:
+    """Of edges with one id the greatest by all its columns, so that every run keeps the same."""
+    best = edges.groupBy("id").agg(F.max(F.struct(*[c for c in edges.columns if c != "id"])).alias("_best"))
+    return best.select("id", "_best.*").select(*edges.columns)
+
+
 def add_inverse_edges(edges: DataFrame) -> DataFrame:
     """Adds the inverse of every edge whose type has one; an edge already there stays."""
     cells = [F.lit(x) for pair in P.INVERSE_TYPES.items() for x in pair]
@@ -493,20 +514,20 @@ def add_inverse_edges(edges: DataFrame) -> DataFrame:
         F.col("_inv").alias("type"),
         *[c for c in EDGE_COLUMNS if c not in ("id", "source", "target", "type")],
     )
-    return edges.select(*EDGE_COLUMNS).unionByName(turned.join(edges.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+    return edges.select(*EDGE_COLUMNS).unionByName(one_per_id(turned.join(edges.select("id"), "id", "left_anti")))
 
 
 # --- enrichment ----------------------------------------------------------------------
 
 
-def apply_enrichment(pages: DataFrame, enrichments: DataFrame, keep: int = 2000) -> DataFrame:
-    """Page text with its summary on top, and the key concepts of the page."""
+def apply_enrichment(pages: DataFrame, enrichments: DataFrame, keep: int | None = None) -> DataFrame:
+    """Page text, or its first ``keep`` characters, below its summary, and the key concepts of the page."""
     new = enrichments.select(*PAGE, "summary", "key_concepts")
     content = F.when(
         F.coalesce("summary", F.lit("")) != "",
         F.concat(
             F.lit("# Semantic Summary\n\n"), "summary", F.lit("\n\n# Original Content\n\n"),
-            F.left("text", F.lit(keep)),
+            F.col("text") if keep is None else F.left("text", F.lit(keep)),
         ),
     ).otherwise(F.col("text"))
     return pages.join(new, PAGE, "left").withColumn("content", content)

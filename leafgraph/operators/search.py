@@ -119,7 +119,7 @@ def search(
 
     Every term of ``all_terms``, the prefix and the words of the phrase must occur, one
     of ``any_terms`` if there are any, none of ``none_terms``.  A phrase is checked in
-    the text of the nodes (``nodes``) that pass the rest.  Without a limit all hits come
+    the fields of the nodes (``nodes``) that pass the rest, word by word.  Without a limit all hits come
     back, in no order.
     """
     def norm(ts):
@@ -173,12 +173,23 @@ def search(
         out = postings.filter(F.col("term").isin(banned) & in_domain).select("node_id")
         found = found.join(out, "node_id", "left_anti")
     if phrase:
-        low = F.contains(F.lower("content"), F.lit(phrase.lower()))
-        found = found.join(nodes.filter(low).select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        found = found.join(having_phrase(nodes.join(found.select(F.col("node_id").alias("id")), "id", "left_semi"), phrase, index, fields), "node_id", "left_semi")
     found = found.select("node_id", "domain", "score")
     return found if limit is None else found.orderBy(F.desc("score"), "node_id").limit(limit)
 
 
+def having_phrase(nodes: DataFrame, phrase: str, index: Index, fields: list[str] | None = None) -> DataFrame:
+    """``node_id`` of nodes with the words of the phrase one after another in a field, as they are indexed.
+
+    Words hold no blank, so the tokens joined by blanks hold the phrase's as a run of whole words.
+    """
+    words = F.lit(" " + " ".join(query_term(w, index.stemmer) for w in phrase.split()) + " ")
+    columns = [f for f in (fields or FIELDS) if f in nodes.columns]
+    texts = [F.concat(F.lit(" "), F.array_join(index_tokens(F.col(f), index.stemmer), " "), F.lit(" ")) for f in columns]
+    hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(t, words), F.lit(False)) for t in texts])
+    return nodes.filter(hit).select(F.col("id").alias("node_id"))
+
+
 def search_batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` nodes for each query (``query_id, terms ARRAY<STRING>``), all terms required.
 
@@ -272,7 +283,7 @@ def context(
     parts = [hits]
     if document is not None:
         parts.append(neighbours(nodes, edges, document, k // 2).select("id"))
-    parts += [by_tag(nodes, tags, t, k // 3).select("id") for t in list(with_tag)[:3]]
+    parts += [by_tag(nodes, tags, t, max(1, k // 3)).select("id") for t in with_tag]
     ids = reduce(DataFrame.unionByName, parts).distinct()
     return newest(nodes.join(ids, "id", "left_semi"), k)
 

@@ -46,14 +46,13 @@ def chunk_pages(docs: DataFrame, n: int) -> DataFrame:
 def split_on_markers(docs: DataFrame, n: int) -> DataFrame:
     """Split at ``Page k`` lines (page k-1, marker kept); texts without one fall back to chunks."""
     marked = F.col("text").rlike(P.PAGE_MARKER)
-    segments = F.filter(
-        F.split(F.regexp_replace("text", P.PAGE_MARKER, "\u0001$1"), "\u0001"),
-        lambda s: s.rlike(r"^Page \d+"),
-    )
+    # Cut before each marker; lines end at a line feed only, as in P.PAGE_MARKER elsewhere.
+    segments = F.filter(F.split("text", r"(?md)(?=^Page \d)"), lambda s: s.rlike(r"^Page \d+"))
     by_marker = docs.filter(marked).select("doc_id", F.explode(segments).alias("segment")).select(
         "doc_id",
         (F.regexp_extract("segment", r"^Page (\d+)", 1).try_cast("int") - 1).alias("page_no"),
-        F.regexp_replace("segment", r"\n$", "").alias("text"),
+        F.when(F.col("segment").endswith("\n"), F.left("segment", F.length("segment") - 1))
+        .otherwise(F.col("segment")).alias("text"),
     )
     return by_marker.unionByName(chunk_pages(docs.filter(~marked), n))
 

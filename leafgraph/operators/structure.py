@@ -38,7 +38,7 @@ def is_toc_page(c: Column) -> Column:
 
 
 def toc_pages(pages: DataFrame) -> DataFrame:
-    """First contents page of each document and up to three that continue it."""
+    """First contents page of each document and all that continue it."""
     first = (
         pages.filter(is_toc_page(F.col("text")))
         .groupBy("doc_id")
@@ -47,18 +47,14 @@ def toc_pages(pages: DataFrame) -> DataFrame:
     )
     last_line = F.lower(F.element_at(F.split(X.clean(F.col("text")), "\n"), -1))
     goes_on = F.contains(last_line, F.lit("continued")) | F.contains(last_line, F.lit("cont."))
-    wanted = first.filter(goes_on).select(
-        "doc_id",
-        F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"),
-        F.col("page_no").alias("first_no"),
-    ).withColumn("page_no", F.col("first_no") + F.col("step"))
-    candidates = pages.select("doc_id", "page_no", "text").join(wanted, ["doc_id", "page_no"])
+    begun = first.filter(goes_on).select("doc_id", F.col("page_no").alias("first_no"))
+    later = attach(pages.select("doc_id", "page_no", "text"), begun, "doc_id", "page_no").filter("page_no > first_no")
     # The run ends at the first page that fails the test; a missing page does not end it.
     fails = F.regexp_count("text", F.lit(P.LINE_END_NUMBER)) < 3
-    stops = candidates.filter(fails).groupBy("doc_id").agg(F.min("step").alias("stop"))
+    stops = later.filter(fails).groupBy("doc_id").agg(F.min("page_no").alias("stop"))
     more = (
-        candidates.join(stops, "doc_id", "left")
-        .filter(F.col("stop").isNull() | (F.col("step") < F.col("stop")))
+        attach(later, stops, "doc_id", "page_no", "left")
+        .filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
         .select("doc_id", "page_no", "text")
     )
     return first.unionByName(more)
@@ -286,7 +282,7 @@ def toc_ranges(toc: DataFrame, pages: DataFrame, block: int = 4096) -> DataFrame
     ranged = next_after(toc, ["doc_id"], ["seq"], block, {"_next": F.col("page")})
     return (
         attach(ranged, ends, "doc_id", "seq")
-        .withColumn("end_page", F.coalesce(F.col("_next") - 1, F.col("_last")))
+        .withColumn("end_page", F.least(F.col("_next") - 1, F.col("_last")))
         .filter("page <= end_page")
         .drop("_next", "_last")
     )

@@ -77,5 +77,5 @@ def rebuild(
         [], "node_id STRING, domain STRING, target_domain STRING, target_node_id STRING, "
         "description STRING, bidirectional BOOLEAN",
     )
-    save_graph(built, path)
+    save_graph(built, path, [domain])
     return load_graph(spark, path)

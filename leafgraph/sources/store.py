@@ -7,21 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgraph.operators.graph import one_per_id
 from leafgraph.operators.search import newest, with_tags
 from leafgraph.schemas import DOMAIN_REFS, DOMAINS, EDGES, NODES, TAGS
 
 Graph = dict[str, DataFrame]  # nodes, edges, tags, domains, domain_refs
 
 
-def save_graph(graph: Graph, path: str) -> None:
+def save_graph(graph: Graph, path: str, domains: list[str] = ()) -> None:
     """Write the tables.  Only the domains at hand are replaced, so a rebuild can be repeated.
 
-    Files are balanced by size within a domain, also where one domain has most rows.
+    ``domains`` are those built anew as a whole: where a table has no rows of one of them
+    any more, the old ones go too.  Files are balanced by size within a domain, also where
+    one domain has most rows.
     """
     def write(df: DataFrame, name: str, column: str) -> None:
         df.hint("rebalance", column).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(column).parquet(f"{path}/{name}")
+        for domain in domains:
+            if df.filter(F.col(column) == domain).isEmpty():
+                remove_partition(df.sparkSession, f"{path}/{name}", column, domain)
 
     write(graph["nodes"], "nodes", "domain")
     write(graph["edges"], "edges", "domain")
@@ -33,6 +39,14 @@ def save_graph(graph: Graph, path: str) -> None:
         write(graph["domain_refs"], "domain_refs", "domain")
 
 
+def remove_partition(spark: SparkSession, path: str, column: str, value: str) -> None:
+    """Delete the files of one value of the partition column, in whatever store they are."""
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={name}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def load_graph(spark: SparkSession, path: str, domain: str | None = None) -> Graph:
     """Read the tables; with ``domain`` only the files of that domain."""
     def read(name: str, schema: str) -> DataFrame:
@@ -95,7 +109,7 @@ def valid_edges(graph: Graph) -> DataFrame:
     for end in ("source", "target"):
         edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
     edges = edges.join(graph["domains"].select(F.col("id").alias("domain")), "domain", "left_semi")
-    return edges.dropDuplicates(["id"])
+    return one_per_id(edges)
 
 
 # --- domains -------------------------------------------------------------------------
