@@ -107,10 +107,10 @@ def test_continuation_skips_missing_pages_and_stops_at_prose(spark):
     more = "a 1\nb 2\nc 3"
     toc = "Contents\na .... 1\nb .... 2\nc .... 3\nCont."
     pages = spark.createDataFrame(
-        [("x", 0, toc), ("x", 2, more), ("x", 3, more), ("x", 4, more), ("y", 5, toc), ("y", 6, "prose"), ("y", 7, more)],
+        [("x", 0, toc), *[("x", i, more) for i in range(2, 9)], ("x", 9, "prose"), ("x", 10, more), ("y", 5, toc), ("y", 6, "prose"), ("y", 7, more)],
         PAGES,
     )
-    assert rows(structure.toc_pages(pages), "doc_id", "page_no") == [("x", 0), ("x", 2), ("x", 3), ("y", 5)]
+    assert rows(structure.toc_pages(pages), "doc_id", "page_no") == [("x", 0), *[("x", i) for i in range(2, 9)], ("y", 5)]
 
 
 def test_format_tie_and_generic_entry(spark):
@@ -574,3 +574,49 @@ def test_cost_and_time(spark):
                                   "doc_id STRING, model STRING, input_tokens INT, output_tokens INT, pages INT")
     assert rows(enrich.estimate_cost(usage), "doc_id", F.round("cost", 6)) == [("d", 0.03), ("e", 0.03)]
     assert rows(enrich.estimate_time(usage), "doc_id", "seconds") == [("d", 13.0), ("e", 9.0)]
+
+
+# --- findings of a review ------------------------------------------------------------
+
+
+def test_page_markers_keep_every_character(spark):
+    docs = spark.createDataFrame([("a", "x\nPage 1\nabc\x01def\n\nPage 2\nxyz\n"), ("b", "no marker")], "doc_id STRING, text STRING")
+    assert rows(shape.split_on_markers(docs, 1), "doc_id", "page_no", "text") == [
+        ("a", 0, "Page 1\nabc\x01def\n"), ("a", 1, "Page 2\nxyz"), ("b", 0, "no marker")]
+
+
+def test_an_entry_far_beyond_the_last_page_unfolds_nothing(spark):
+    pages = spark.createDataFrame([("a", 0, "one"), ("a", 1, "two")], PAGES)
+    toc = spark.createDataFrame(
+        [("a", 0, "1", "First", 0, 1), ("a", 1, "2", "Far", 2_000_000_000, 1)],
+        "doc_id STRING, seq INT, number STRING, title STRING, page INT, level INT",
+    )
+    assert rows(structure.toc_ranges(toc, pages), "seq", "page", "end_page") == [(0, 0, 1)]
+
+
+def test_a_relation_on_two_pages_is_one_edge(spark):
+    pages = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], PAGES)
+    relations = spark.createDataFrame(
+        [("a", p, "k1", "k2", "type_of", 0.7, [p]) for p in (1, 0)],
+        "doc_id STRING, page_no INT, source_key STRING, target_key STRING, type STRING, strength DOUBLE, evidence_at ARRAY<INT>",
+    )
+    terms = spark.createDataFrame([], "doc_id STRING, page_no INT, term STRING, significance DOUBLE")
+    edges = graph.analysis_edges(pages, terms, relations).collect()
+    assert len({e.id for e in edges}) == len(edges)
+    found = [e for e in edges if e.evidence and e.evidence[0].startswith("a:")]
+    assert [(e.confidence, list(e.evidence)) for e in found] == [(1.0, ["a:0:0"])]
+
+
+def test_phrases_are_words_of_any_field(spark):
+    nodes = spark.createDataFrame(
+        [("1", "d", "beginning them", None, "/x"), ("2", "d", "in\nthe house", None, "/x"), ("3", "d", "the", "in", "/in the end"), ("4", "d", "café noir", None, "/x")],
+        "id STRING, domain STRING, content STRING, content_summary STRING, path STRING",
+    )
+    index = search.build_index(nodes, stemmer="none")
+    found = lambda phrase: rows(search.search(index, phrase=phrase, nodes=nodes), "node_id")
+    assert found("in the") == [("2",), ("3",)] and found("cafe noir") == [("4",)]
+
+
+def test_one_edge_per_id_is_the_same_in_every_run(spark):
+    edges = spark.createDataFrame([("e", 0.2), ("e", 0.9), ("f", 0.1)], "id STRING, strength DOUBLE")
+    assert rows(graph.one_per_id(edges.repartition(3)), "id", "strength") == [("e", 0.9), ("f", 0.1)]
