@@ -623,7 +623,8 @@ def similar_edges(nodes: DataFrame, threshold: float = 0.7) -> DataFrame:
     needed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     position = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
     prefix = (
-        words.join(df, "word")
+        attach(words.withColumn("_id", F.xxhash64("id")), df, "word", "_id")
+        .drop("_id")
         .withColumn("pos", position)
         .filter(F.col("pos") <= needed)
         .select("id", "n", "word", "pos")

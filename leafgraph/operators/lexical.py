@@ -15,6 +15,7 @@ from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.rank import scores_udf
 from leafgraph.functions.stem import stem_array, stem_word
+from leafgraph.operators.ordered import attach
 
 PAGE = ["doc_id", "page_no"]
 
@@ -45,7 +46,9 @@ def tf_idf(stem_table: DataFrame, pages: DataFrame) -> DataFrame:
     """Frequency times ln(pages / pages with the stem), over the corpus."""
     df = stem_table.groupBy("stem").agg(F.count("*").alias("df"))
     total = pages.agg(F.count("*")).scalar()
-    return stem_table.join(df, "stem").withColumn(
+    # A stem of most pages is joined by many tasks.
+    spread = stem_table.withColumn("_page", F.xxhash64(*PAGE))
+    return attach(spread, df, "stem", "_page").drop("_page").withColumn(
         "tf_idf", F.col("freq") * F.ln(total / F.col("df"))
     )
 
@@ -64,7 +67,8 @@ def significance(pages: DataFrame, priors: DataFrame | None = None, default_prio
     if priors is None:
         counted = counted.withColumn("prior", F.lit(0.5))
     else:
-        counted = counted.join(priors.select("term", "prior"), "term", "left").withColumn(
+        spread = counted.withColumn("_page", F.xxhash64(*PAGE))
+        counted = attach(spread, priors.select("term", "prior"), "term", "_page", "left").drop("_page").withColumn(
             "prior", F.coalesce("prior", F.lit(default_prior))
         )
     share = F.col("freq") / F.col("total")

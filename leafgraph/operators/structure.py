@@ -270,7 +270,9 @@ def resolve_toc(sources: list[DataFrame]) -> DataFrame:
     ]
     union = reduce(DataFrame.unionByName, ranked)
     best = union.groupBy("doc_id").agg(F.min("source_rank").alias("source_rank"))
-    return union.join(best, ["doc_id", "source_rank"], "left_semi")
+    # A long document is joined by many tasks.
+    best = best.withColumnRenamed("source_rank", "_best")
+    return attach(union, best, "doc_id", "seq").filter("source_rank = _best").drop("_best")
 
 
 # --- sections from a table of contents ----------------------------------------

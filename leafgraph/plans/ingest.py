@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafgraph.config import Settings
 from leafgraph.functions.durable import cut
 from leafgraph.operators import graph, shape, structure
-from leafgraph.sources.store import load_graph, save_graph
+from leafgraph.sources.store import load_graph, save_graph, stored_domain
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
@@ -63,15 +63,19 @@ def rebuild(
     """Build the graph of stored pages anew and replace the domain in the store.
 
     Ids depend on the content only, so a second run writes the same rows.  Sections go
-    into nodes, edges and tags; they are worked out once.
+    into nodes, edges and tags; they are worked out once.  A domain that is stored keeps
+    its name, description and time of creation.
     """
     pages = pages.select("doc_id", "page_no", "text")
     sections = cut(sections_of(pages, settings=settings) if sections is None else sections)
     built = graph_of(pages, sections=sections, domain=domain, now=now, settings=settings)
     at = F.current_timestamp() if now is None else now.cast("timestamp")
+    old = stored_domain(spark, path, domain)
+    name, description = (old["name"], old["description"]) if old else (domain, "")
+    created = F.lit(old["created"]).cast("timestamp") if old else at
     built["domains"] = spark.range(1).select(
-        F.lit(domain).alias("id"), F.lit(domain).alias("name"), F.lit("").alias("description"),
-        at.alias("created"), at.alias("last_access"),
+        F.lit(domain).alias("id"), F.lit(name).alias("name"), F.lit(description).alias("description"),
+        created.alias("created"), at.alias("last_access"),
     )
     built["domain_refs"] = spark.createDataFrame(
         [], "node_id STRING, domain STRING, target_domain STRING, target_node_id STRING, "

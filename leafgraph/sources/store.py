@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def violations(graph: Graph) -> DataFrame:
     """``rule, table, key`` of every row that breaks a constraint."""
     nodes, edges, tags = graph["nodes"], graph["edges"], graph["tags"]
     domains = graph["domains"].select(F.col("id").alias("domain"))
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
+    ids = nodes.select(F.col("id").alias("_id"))  # repeats do not matter where rows are only looked up
 
     def found(df: DataFrame, rule: str, table: str, key: Column) -> DataFrame:
         return df.select(F.lit(rule).alias("rule"), F.lit(table).alias("table"), key.cast("string").alias("key"))
@@ -99,9 +100,20 @@ def violations(graph: Graph) -> DataFrame:
         found(nodes.filter("content is null"), "not null content", "nodes", F.col("id")),
         found(edges.filter("type is null or source is null or target is null"), "not null", "edges", F.col("id")),
     ]
+    if "domain_refs" in graph:
+        refs = graph["domain_refs"]
+        checks += [dangling(refs, "domain_refs", "node_id"), no_domain(refs, "domain_refs")]
     return reduce(DataFrame.unionByName, checks)
 
 
+def stored_domain(spark: SparkSession, path: str, domain: str):
+    """The stored row of a domain, or None."""
+    try:
+        return spark.read.schema(DOMAINS).parquet(f"{path}/domains").filter(F.col("id") == domain).first()
+    except AnalysisException:  # nothing is stored yet
+        return None
+
+
 def valid_edges(graph: Graph) -> DataFrame:
     """Edges with both ends, a known domain and a strength in range, one per id."""
     ids = graph["nodes"].select("id")
@@ -182,7 +194,7 @@ def newest_nodes(graph: Graph, n: int = 5) -> DataFrame:
 
 def delete_nodes(graph: Graph, ids: DataFrame) -> Graph:
     """The graph without the given nodes (``id``) and all that hangs on them."""
-    gone = ids.select("id").distinct()
+    gone = ids.select("id")
 
     def without(df: DataFrame, *columns: str) -> DataFrame:
         for c in columns:

@@ -620,3 +620,11 @@ def test_phrases_are_words_of_any_field(spark):
 def test_one_edge_per_id_is_the_same_in_every_run(spark):
     edges = spark.createDataFrame([("e", 0.2), ("e", 0.9), ("f", 0.1)], "id STRING, strength DOUBLE")
     assert rows(graph.one_per_id(edges.repartition(3)), "id", "strength") == [("e", 0.9), ("f", 0.1)]
+
+
+def test_a_rebuilt_domain_keeps_its_time_of_creation(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 0, "some text that is long enough to be admitted as a page of its own, surely")], PAGES)
+    path = str(tmp_path / "store")
+    for stamp in (1000, 2000):
+        g = ingest.rebuild(spark, pages, path, now=F.timestamp_seconds(F.lit(stamp)))
+    assert rows(g["domains"], F.unix_seconds("created"), F.unix_seconds("last_access")) == [(1000, 2000)]
