@@ -287,8 +287,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes, (full.doc_id == classes.rep) & (full.s1 == classes.s1) & (full.s2 == classes.s2), "left_semi")
     reps = cut(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.first("signature").alias("signature")))
-    members = reps.mapInArrow(_band_batches, "key long, rep long").distinct()
-    members = cut(members)
+    members = reps.mapInArrow(_band_batches, "key long, rep long")
     many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(cut(many), "key"))
     weights = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
