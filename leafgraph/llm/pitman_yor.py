@@ -1,20 +1,19 @@
-"""A hierarchical Pitman-Yor language model, seated by Gibbs sampling.
+"""A hierarchical Pitman-Yor language model with forward seating.
 
-The restaurant of a token is that of its context, and all contexts share one parent, the
-restaurant of all tokens, whose base is uniform over the distinct training tokens and one
-more, which stands for any other token. The context is the kind of the last frequent token
-before: the ``MARKS`` most frequent training tokens are sorted into ``KINDS`` kinds by which
-of them follow each other, and before the first of them in a text there is one kind more.
-So contexts are few, and a token's row holds its customers and tables in all of them.
+The restaurant of a token is that of the token before it (of the end, for the first of a
+text), and all restaurants share one parent, the restaurant of all tokens, whose base is
+uniform over the distinct training tokens and one more, which stands for any other token.
 
 Each sweep seats all customers of every dish anew, given the tables of the others as the
-sweep before left them, so that tokens are independent within a sweep and spread over
-tasks. Tables of contexts are the parent's customers. The first sweep is left out; a token's
+sweep before left them, so that pairs are independent within a sweep and spread over
+tasks. Tables of contexts are the parent's customers. The first sweep is left out; a pair's
 probability is the average predictive probability of the others, and a document's score the
-sum of its logarithms over all tokens and the end.
+sum of its logarithms over all tokens and the end. A pair seen once always has one table,
+so only pairs seen more often are seated and kept by the sweeps.
 
-Tokens are counted, seated and looked up over all tasks; only those with a share of
-``FREQUENT`` of all tokens, of which there are at most 1 / FREQUENT, are sent to every task.
+Pairs are counted, seated and looked up over all tasks. Tokens and pairs with a share of
+``FREQUENT`` of all tokens, of which there are at most 1 / FREQUENT each, are sent to every
+task; only the others are joined by key, so no key is hot.
 
 Null texts count as empty and hold the end only. A null doc_id is not held out. Rows with
 equal doc_id are told apart by their text. Extra columns are ignored; without training
@@ -34,7 +33,6 @@ from leafgraph.functions.durable import scratch_folder
 from leafgraph.llm import text_arrays as A
 from leafgraph.llm.repeats import keyed
 
-MARKS, KINDS = 64, 8
 SWEEPS = 4
 FREQUENT = 2e-6
 #: Discount and concentration of the contexts' restaurants and of their parent.
@@ -43,8 +41,9 @@ PARENT = (0.5, 10.0)
 #: Customers seated one by one; later ones come in groups of at most GROUP of those seated.
 SINGLY, GROUP = 64, 0.02
 
-END = 0  # stands for the end of a text
-PLACES = range(KINDS + 1)
+END = 0  # stands for the end of a text, and for what is before its first token
+#: Tokens whose pairs a task counts at once.
+COUNTED = 1 << 21
 
 
 def seat(customers: np.ndarray, base: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -81,16 +80,16 @@ def _tokens(batch):
         s, e = A.words(low, o)
         number = np.diff(np.searchsorted(s, o))
         ends = np.cumsum(number)
-        h = np.insert(A.names(low, s, e), ends, np.uint64(END))
+        h = np.insert(A.names(low, s, e) >> np.uint64(1), ends, np.uint64(END)).view(np.int64)
         yield i, j, h, np.repeat(np.arange(j - i), number + 1)
 
 
-def _marks_of(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The place of each token among the sorted ``marks``, or -1."""
-    if not len(marks):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
-    return np.where(marks[at] == h, at, -1)
+def _codes(h: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The place of each token among the sorted frequent ``names``, or a negative number of its own."""
+    if not len(names):
+        return ~h
+    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+    return np.where(names[at] == h, at, ~h)
 
 
 def _last_marks(mark: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -108,94 +107,128 @@ def _count_batches(batches):
         for i, j, h, doc in _tokens(batch):
             name, inverse = np.unique(h, return_inverse=True)
             train = np.bincount(inverse, ~held[i + doc], len(name)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(train), pa.array(np.bincount(inverse, minlength=len(name)))], names=["h", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(train), pa.array(np.bincount(inverse, minlength=len(name)))], names=["h", "c", "n"])
 
 
-def _follow_batches(marks: np.ndarray):
-    """How often one mark is the next after another."""
+def _before(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The token before each in its document, or END."""
+    last = _last_marks(np.arange(len(h)), doc)
+    return np.where(last >= 0, h[last], END) if len(h) else h
 
-    def run(batches):
-        for batch in batches:
-            for i, j, h, doc in _tokens(batch):
-                mark = _marks_of(h, marks)
-                last = _last_marks(mark, doc)
-                both = (mark >= 0) & (last >= 0)
-                pair, n = np.unique(last[both] * MARKS + mark[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
-
-    return run
 
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows with equal keys together. Seldom, equal rows make two groups."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = A.finish(mixed * np.uint64(A._MULT) + k.view(np.uint64))
+    order = np.argsort(mixed)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, np.flatnonzero(new)
 
-def kinds_of(follows: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """A kind from 1 on for each mark, by repeated averaging of what stands around it."""
-    n = len(follows)
-    near = np.sqrt(np.hstack([follows, follows.T]).astype(np.float64))
-    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
-    centre = near[:1]
-    while len(centre) < min(KINDS, n):
-        centre = np.vstack([centre, near[(near @ centre.T).max(1).argmin()]])
-    for _ in range(rounds):
-        own = (near @ centre.T).argmax(1)
-        for k in np.unique(own):
-            centre[k] = near[own == k].mean(0)
-            centre[k] /= max(np.linalg.norm(centre[k]), 1e-12)
-    return (near @ centre.T).argmax(1) + 1
 
+def _pair_batches(names: np.ndarray):
+    """Partial counts of pairs: those in training documents, and all."""
 
-def _context_batches(marks: np.ndarray, kinds: np.ndarray):
-    """Partial counts of training tokens by kind of context."""
+    def counted(parts):
+        u, w, train = (np.concatenate(x) for x in zip(*parts))
+        order, start = _distinct(u, w)
+        c = np.add.reduceat(train[order].astype(np.int64), start)
+        first = order[start]
+        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(c), pa.array(np.diff(np.append(start, len(u))))], names=["u", "w", "c", "n"])
 
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for i, j, h, doc in _tokens(batch):
-                last = _last_marks(_marks_of(h, marks), doc)
-                kind = np.where(last >= 0, kinds[last], 0) if len(kinds) else np.zeros(len(h), np.int64)
-                name, inverse = np.unique(h, return_inverse=True)
-                table = np.bincount(inverse * (KINDS + 1) + kind, minlength=len(name) * (KINDS + 1)).reshape(-1, KINDS + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *(pa.array(table[:, k]) for k in PLACES)], names=["h", *(f"c{k}" for k in PLACES)])
+                if len(h):
+                    code = _codes(np.append(h, END), names)
+                    parts.append((_before(code[:-1], doc), code[:-1], ~held[i + doc]))
+                    first = np.diff(doc, prepend=-1) != 0
+                    parts[-1][0][first] = code[-1]
+                    size += len(h)
+                if size >= COUNTED:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if parts:
+            yield counted(parts)
 
     return run
 
 
+def parent(c, t, totals: dict):
+    """Probability of tokens in the restaurant of all; arrays or columns."""
+    d0, th0 = PARENT
+    return (c - t * d0 + (th0 + d0 * totals["parent_t"]) / (totals["distinct"] + 1)) / (th0 + totals["parent_c"])
+
+
 def predictive(c, t, parent_c, parent_t, totals: dict) -> np.ndarray:
     """Probability of each token in each context, a column a context."""
-    d0, th0 = PARENT
     d, th = CONTEXT
-    p0 = (parent_c - d0 * parent_t + (th0 + d0 * totals["parent_t"]) / (totals["distinct"] + 1)) / (th0 + totals["parent_c"])
+    p0 = parent(parent_c, parent_t, totals)
     return (c - d * t + (th + d * totals["t"])[None, :] * p0[:, None]) / (th + totals["c"])[None, :]
 
 
-def _sweep_batches(totals: dict, sweep: int, count: bool):
-    """Adds the predictive probabilities of the tables as they are, if they count, and seats all customers anew."""
-    d0, th0 = PARENT
+def _filled(batch, column: str, code: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+    """Values of frequent codes from ``values``, of the others from the joined column."""
+    out = batch.column(column).to_numpy(zero_copy_only=False).astype(np.float64)
+    out[np.isnan(out)] = other
+    if len(values):
+        out = np.where(code >= 0, values[np.maximum(code, 0)], out)
+    return out
+
+
+def _seat_batches(tables: np.ndarray, p0: np.ndarray, sweep: int):
+    """Seats the customers of pairs anew."""
     d, th = CONTEXT
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c, t, p = (np.stack([batch.column(f"{x}{k}").to_numpy() for k in PLACES], 1) for x in "ctp")
-            c0 = t.sum(1)
-            t0 = batch.column("t").to_numpy()
-            now = predictive(c, t, c0, t0, totals)
-            if count:
-                p = p + now
-            rng = np.random.default_rng([sweep, batch.num_rows, int(batch.column("h")[0].as_py()) & 0x7FFFFFFF])
-            p0 = (c0 - d0 * t0 + (th0 + d0 * totals["parent_t"]) / (totals["distinct"] + 1)) / (th0 + totals["parent_c"])
-            new = np.stack([seat(c[:, k], p0, th + d * totals["t"][k], d, rng) for k in PLACES], 1)
-            new0 = seat(new.sum(1), np.full(len(c), 1 / (totals["distinct"] + 1)), th0 + d0 * totals["parent_t"], d0, rng)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), *(batch.column(f"c{k}") for k in PLACES), pa.array(new0), *(pa.array(new[:, k]) for k in PLACES), *(pa.array(p[:, k]) for k in PLACES)],
-                names=["h", *(f"c{k}" for k in PLACES), "t", *(f"t{k}" for k in PLACES), *(f"p{k}" for k in PLACES)])
+            if batch.num_rows:
+                u, w, c = (batch.column(x).to_numpy() for x in "uwc")
+                rng = np.random.default_rng([sweep, batch.num_rows, int(u[0]) & 0x7FFFFFFF, int(w[0]) & 0x7FFFFFFF])
+                t = seat(c, _filled(batch, "p0", w, p0, 0.0), th + d * _filled(batch, "tu", u, tables, 0.0), d, rng)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in "uwcn"), pa.array(t), batch.column("ts")], names=["u", "w", "c", "n", "t", "ts"])
+
+    return run
+
+
+def _parent_batches(totals: dict, sweep: int):
+    """Seats the customers of rare tokens in the parent."""
+    d0, th0 = PARENT
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                c = batch.column("c0").to_numpy()
+                rng = np.random.default_rng([sweep, 1, batch.num_rows, int(batch.column("w")[0].as_py()) & 0x7FFFFFFF])
+                t = seat(c, np.full(len(c), 1 / (totals["distinct"] + 1)), th0 + d0 * totals["parent_t"], d0, rng)
+                yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(c), pa.array(t)], names=["w", "c0", "t0"])
 
     return run
 
 
-STATE = ", ".join(["h long", *(f"c{k} long" for k in PLACES), "t long", *(f"t{k} long" for k in PLACES), *(f"p{k} double" for k in PLACES)])
+def _joined(pairs: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """With the columns of ``table`` for pairs whose ``key`` is rare; null for the others."""
+    rare = pairs.where(F.col(key) < 0).join(table, key, "left")
+    return pairs.where(F.col(key) >= 0).unionByName(rare, allowMissingColumns=True)
+
+
+def _dense(rows: DataFrame, key: str, value: str, size: int) -> np.ndarray:
+    """Values of frequent codes as an array."""
+    out = np.zeros(size, np.int64)
+    got = rows.where(F.col(key) >= 0).select(key, value).toArrow()
+    out[got[key].to_numpy()] = got[value].to_numpy()
+    return out
 
 
-def fit(docs: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
-    """((h, c, n, p), totals): counts of every token and its probability in each context. ``docs`` is keyed, with held_out."""
+def fit(docs: DataFrame, sweeps: int = SWEEPS, frequent: float = FREQUENT) -> tuple[DataFrame, dict]:
+    """((h, c, n, p), of): counts of every token and its probabilities in the parent, by sweep.
+
+    ``docs`` is keyed, with held_out. ``of`` has the totals, the frequent tokens, and in
+    "pairs" (u, w, n, known, base, score) of each pair of any document.
+    """
     spark = docs.sparkSession
     folder = scratch_folder(spark, "pitman_yor")
 
@@ -203,102 +236,146 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    d, th = CONTEXT
+    d0, th0 = PARENT
     rows = docs.select("text", "held_out")
     counts = stored(rows.mapInArrow(_count_batches, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
     of = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     totals = {"train_tokens": of["c"] or 0, "distinct": of["v"] or 0, "tokens": of["n"] or 0}
-    top = counts.where((F.col("c") > 0) & (F.col("h") != END)).orderBy(F.desc("c"), "h").limit(MARKS).collect()
-    marks = np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
-    train = rows.where("NOT held_out")
-    follows = np.zeros((MARKS, MARKS))
-    for r in train.mapInArrow(_follow_batches(marks), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        follows[r["pair"] // MARKS, r["pair"] % MARKS] = r["n"]
-    kinds = kinds_of(follows[:len(marks), :len(marks)]) if len(marks) else np.zeros(0, np.int64)
-    totals |= {"marks": marks, "kinds": kinds}
-    names = [f"c{k}" for k in PLACES]
-    state = train.mapInArrow(_context_batches(marks, kinds), ", ".join(["h long", *(f"{c} long" for c in names)]))
-    state = state.groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+    least = frequent * totals["tokens"]
+    top = counts.where(F.col("n") >= least).toArrow().sort_by("h")
+    names, c_top = top["h"].to_numpy(), top["c"].to_numpy()
+    size = len(names)
+    rare = counts.where(F.col("n") < least).select((-F.col("h") - 1).alias("h"), "c", "n")
+    pairs = rows.mapInArrow(_pair_batches(names), "u long, w long, c long, n long")
+    pairs = stored(pairs.groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "pairs")
+    once = pairs.where("c = 1")
+    once_u = stored(once.groupBy("u").agg(F.count("*").alias("tu")), "once_u")
+    once_w = stored(once.groupBy("w").agg(F.count("*").alias("c0")), "once_w")
     # At first every dish has one table wherever it has customers.
-    state = state.select(
-        "h", *names, F.lit(1).cast("long").alias("t"), *[F.least(F.col(f"c{k}"), F.lit(1)).alias(f"t{k}") for k in PLACES], *[F.lit(0.0).alias(f"p{k}") for k in PLACES])
-    state = stored(state, "sweep")
-
-    def now() -> dict:
-        r = state.agg(F.sum("t").alias("t"), *[F.sum(f"{x}{k}").alias(f"{x}{k}") for x in "ct" for k in PLACES]).first()
-        c, t = (np.array([r[f"{x}{k}"] or 0 for k in PLACES], np.float64) for x in "ct")
-        return {"c": c, "t": t, "parent_c": t.sum(), "parent_t": r["t"] or 0, "distinct": totals["distinct"]}
-
-    unknown = np.zeros(KINDS + 1)
-    for sweep in range(sweeps + 1):  # the first adds nothing yet, the last only adds
-        is_now = now()
-        count = sweep > 1 or sweeps < 2
-        if count:
-            unknown += predictive(np.zeros((1, KINDS + 1)), np.zeros((1, KINDS + 1)), np.zeros(1), np.zeros(1), is_now)[0]
-        state = stored(state.mapInArrow(_sweep_batches(is_now, sweep, count), STATE), f"sweep{sweep}")
-    number = sum(s > 1 or sweeps < 2 for s in range(sweeps + 1))
-    p = F.array(*[F.coalesce(F.col(f"p{k}"), F.lit(float(unknown[k]))) / number for k in PLACES])
-    return counts.join(state.select("h", *[f"p{k}" for k in PLACES]), "h", "left").select("h", "c", "n", p.alias("p")), totals
-
-
-def _score_batches(names: np.ndarray, base: np.ndarray, known: np.ndarray, score: np.ndarray, marks: np.ndarray, kinds: np.ndarray):
-    """A row a document with the sums over its frequent tokens, and a row for each of its other tokens and contexts."""
+    many = stored(pairs.where("c > 1").select("u", "w", "c", "n", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), "many")
+
+    counted = [s for s in range(sweeps + 1) if s > 1 or sweeps < 2]  # the first adds nothing yet, the last only adds
+    values, tops, unknown = [], [], []
+    parent_t = totals["distinct"]
+    for sweep in range(sweeps + 1):
+        contexts = stored(once_u.unionByName(many.select("u", F.col("t").alias("tu"))).groupBy("u").agg(F.sum("tu").alias("tu")), f"contexts{sweep}")
+        dishes = stored(once_w.unionByName(many.select("w", F.col("t").alias("c0"))).groupBy("w").agg(F.sum("c0").alias("c0")), f"dishes{sweep}")
+        tu, c0 = _dense(contexts, "u", "tu", size), _dense(dishes, "w", "c0", size)
+        few = dishes.where("w < 0")
+        if sweep:
+            now = totals | {"parent_t": parent_t}
+            few = stored(few.mapInArrow(_parent_batches(now, sweep), "w long, c0 long, t0 long"), f"parent{sweep}")
+            t0 = seat(c0, np.full(size, 1 / (totals["distinct"] + 1)), th0 + d0 * parent_t, d0, np.random.default_rng([sweep]))
+        else:
+            few, t0 = few.withColumn("t0", F.lit(1).cast("long")), np.minimum(c0, 1)
+        of = few.agg(F.sum("c0").alias("c"), F.sum("t0").alias("t")).first()
+        parent_t = int(t0.sum()) + (of["t"] or 0)
+        now = totals | {"parent_c": int(c0.sum()) + (of["c"] or 0), "parent_t": parent_t}
+        p0 = parent(c0, t0, now)
+        few = few.select("w", parent(F.col("c0"), F.col("t0"), now).alias("p0"))
+        less = contexts.where("u < 0")
+        if sweep in counted:
+            k = counted.index(sweep)
+            values += [few.select(F.col("w").alias("h"), F.col("p0").alias(f"p{k}")), less.select(F.col("u").alias("h"), F.col("tu").cast("double").alias(f"t{k}"))]
+            unknown.append(float(parent(0, 0, now)))
+            tops.append((p0, tu))
+            many = many.withColumn("ts", F.col("ts") + F.col("t"))
+        if sweep < sweeps:
+            both = _joined(_joined(many.drop("t"), "u", less), "w", few)
+            many = stored(both.mapInArrow(_seat_batches(tu, p0, sweep), "u long, w long, c long, n long, t long, ts long"), f"many{sweep}")
+
+    ks = range(len(counted))
+    base_of = rare.select("h", F.col("c").cast("double").alias("c"), F.col("n").alias("n"))
+    for v in values:
+        base_of = base_of.unionByName(v, allowMissingColumns=True)
+    cells = ["c", *(f"{x}{k}" for x in "pt" for k in ks)]
+    base_of = base_of.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in cells])
+    # A rare token without customers in the parent has the probability of an unknown one.
+    words = stored(base_of.select("h", "n", "c", *[F.coalesce(f"p{k}", F.lit(unknown[k])).alias(f"p{k}") for k in ks], *[F.coalesce(f"t{k}", F.lit(0.0)).alias(f"t{k}") for k in ks]), "words")
+    all_pairs = pairs.where("c < 2").select("u", "w", "c", "n", (F.col("c") * len(counted)).alias("ts")).unionByName(many.select("u", "w", "c", "n", "ts"))
+    both = _joined(all_pairs, "u", words.select(F.col("h").alias("u"), F.col("c").alias("cu"), *[f"t{k}" for k in ks]))
+    both = _joined(both, "w", words.select(F.col("h").alias("w"), F.col("c").alias("cw"), *[f"p{k}" for k in ks]))
+    scored = both.mapInArrow(_pair_score_batches(c_top, tops, totals), "u long, w long, n long, known long, base double, score double")
+    totals |= {"names": names, "pairs": stored(scored, "scored"), "least": least}
+    whole = pa.table({"h": names, "c": c_top, "n": top["n"], "p": pa.array(np.stack([p for p, _ in tops], 1).tolist(), pa.list_(pa.float64()))})
+    words = words.select((-F.col("h") - 1).alias("h"), F.col("c").cast("long").alias("c"), "n", F.array(*[f"p{k}" for k in ks]).alias("p"))
+    return words.unionByName(spark.createDataFrame(whole)), totals
+
+
+def _pair_score_batches(c_top: np.ndarray, tops: list, totals: dict):
+    """Logarithms of the average predictive probability and of the base of each pair."""
+    d, th = CONTEXT
+    less = math.log10(totals["train_tokens"] + 0.5 * (totals["distinct"] + 1))
+
+    def run(batches):
+        for batch in batches:
+            u, w, c, ts = (batch.column(x).to_numpy() for x in ("u", "w", "c", "ts"))
+            cu, cw = _filled(batch, "cu", u, c_top, 0.0), _filled(batch, "cw", w, c_top, 0.0)
+            p = len(tops) * c - d * ts
+            for k, (p0, tu) in enumerate(tops):
+                p = p + (th + d * _filled(batch, f"t{k}", u, tu, 0.0)) * _filled(batch, f"p{k}", w, p0, 0.0)
+            score = np.log10(p / len(tops) / (th + cu))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in "uwn"), pa.array((cw > 0).astype(np.int64)), pa.array(np.log10(cw + 0.5) - less), pa.array(score)],
+                names=["u", "w", "n", "known", "base", "score"])
+
+    return run
+
+
+def _score_batches(names: np.ndarray, keys: np.ndarray, base: np.ndarray, known: np.ndarray, score: np.ndarray):
+    """A row a document with the sums over its frequent pairs, and a row for each of its other pairs."""
 
     def run(batches):
         for batch in batches:
             for i, j, h, doc in _tokens(batch):
                 n = j - i
-                last = _last_marks(_marks_of(h, marks), doc)
-                kind = np.where(last >= 0, kinds[last], 0) if len(kinds) else np.zeros(len(h), np.int64)
-                at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-                hit = names[at] == h if len(names) else np.zeros(len(h), bool)
-                own, where = doc[hit], at[hit]
-                sums = [np.bincount(own, x, n) for x in (base[where], score[where, kind[hit]], known[where])]
-                rest_doc, rest = doc[~hit], h[~hit]
-                rest_kind = kind[~hit]
-                order = np.lexsort((rest_kind, rest, rest_doc))
-                rest_doc, rest, rest_kind = rest_doc[order], rest[order], rest_kind[order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (rest_doc[1:] != rest_doc[:-1]) | (rest_kind[1:] != rest_kind[:-1])
-                start = np.flatnonzero(new)
-                number = np.diff(np.append(start, len(rest)))
-                at = pa.array(i + np.concatenate([np.arange(n), rest_doc[start]]))
-                fill = np.zeros(len(start))
-                whole = np.arange(n + len(start)) < n
+                code = _codes(np.append(h, END), names)
+                w, u = code[:-1], _before(code[:-1], doc)
+                u[np.diff(doc, prepend=-1) != 0] = code[-1]
+                hit = np.zeros(len(w), bool)
+                if len(keys):
+                    key = np.where((u >= 0) & (w >= 0), u * len(names) + w, -1)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[at] == key
+                    sums = [np.bincount(doc[hit], x[at[hit]], n) for x in (base, score, known)]
+                else:
+                    sums = [np.zeros(n)] * 3
+                own, u, w = doc[~hit], u[~hit], w[~hit]
+                order, start = _distinct(own, u, w)
+                first = order[start]
+                at = pa.array(i + np.concatenate([np.arange(n), own[first]]))
+                fill, whole = np.zeros(len(start)), np.arange(n + len(start)) < n
                 yield pa.RecordBatch.from_arrays([
                     batch.column("d1").take(at), batch.column("d2").take(at),
-                    pa.array(np.append(np.zeros(n, np.int64), rest[start].view(np.int64)), mask=whole),
-                    pa.array(np.append(np.zeros(n, np.int64), rest_kind[start]).astype(np.int32)),
-                    pa.array(np.append(np.bincount(doc, minlength=n), number)), pa.array(np.append(sums[2], fill).astype(np.int64)),
+                    pa.array(np.append(np.zeros(n, np.int64), u[first]), mask=whole), pa.array(np.append(np.zeros(n, np.int64), w[first]), mask=whole),
+                    pa.array(np.append(np.bincount(doc, minlength=n), np.diff(np.append(start, len(own))))), pa.array(np.append(sums[2], fill).astype(np.int64)),
                     pa.array(np.append(sums[0], fill)), pa.array(np.append(sums[1], fill)),
-                ], names=["d1", "d2", "h", "kind", "tokens", "known", "base", "score"])
+                ], names=["d1", "d2", "u", "w", "tokens", "known", "base", "score"])
 
     return run
 
 
-def score(docs: DataFrame, held_out, sweeps: int = SWEEPS) -> DataFrame:
+def score(docs: DataFrame, held_out, sweeps: int = SWEEPS, frequent: float = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``held_out`` is a condition on the rows; the model learns from those that do not meet it.
     """
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    words, of = fit(rows, sweeps)
-    n = of["train_tokens"]
-    base = (F.log10(F.col("c") + 0.5) - math.log10(n + 0.5 * (of["distinct"] + 1)))
-    words = words.select("h", "n", "c", base.alias("base"), F.transform("p", lambda x: F.log10(x)).alias("score"))
-    frequent = words.where(F.col("n") >= FREQUENT * of["tokens"]).orderBy("h").toArrow()
-    names = frequent["h"].to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    column = lambda c: frequent[c].to_numpy()[order]
-    logs = frequent["score"].combine_chunks().flatten().to_numpy().reshape(-1, KINDS + 1)[order]
-    lookup = _score_batches(names[order], column("base"), (column("c") > 0).astype(np.float64), logs, of["marks"], of["kinds"])
-    found = rows.select("d1", "d2", "text").mapInArrow(lookup, "d1 long, d2 long, h long, kind int, tokens long, known long, base double, score double")
-    # Tokens that are not frequent have no hot key; documents' own rows need no lookup.
-    whole = found.where("h IS NULL").drop("h", "kind").withColumn("copies", F.lit(1).cast("long"))
-    rare = found.where("h IS NOT NULL").select("d1", "d2", "h", "kind", F.col("tokens").alias("k"))
-    rare = rare.join(words.where(F.col("n") < FREQUENT * of["tokens"]).select("h", "c", "base", "score"), "h")
+    _, of = fit(rows, sweeps, frequent)
+    n, pairs = of["train_tokens"], of["pairs"]
+    hot = pairs.where(F.col("n") >= of["least"]).toArrow()
+    keys = hot["u"].to_numpy() * len(of["names"]) + hot["w"].to_numpy()
+    order = np.argsort(keys)
+    lookup = _score_batches(of["names"], keys[order], *(hot[x].to_numpy()[order] for x in ("base", "known", "score")))
+    found = rows.select("d1", "d2", "text").mapInArrow(lookup, "d1 long, d2 long, u long, w long, tokens long, known long, base double, score double")
+    # Pairs that are not frequent have no hot key; documents' own rows need no lookup.
+    whole = found.where("u IS NULL").drop("u", "w").withColumn("copies", F.lit(1).cast("long"))
+    rare = found.where("u IS NOT NULL").select("d1", "d2", "u", "w", F.col("tokens").alias("k"))
+    rare = rare.join(pairs.where(F.col("n") < of["least"]).drop("n"), ["u", "w"])
     rare = rare.select(
-        "d1", "d2", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("known"),
-        (F.col("k") * F.col("base")).alias("base"), (F.col("k") * F.col("score")[F.col("kind")]).alias("score"), F.lit(0).cast("long").alias("copies"))
+        "d1", "d2", F.lit(0).cast("long").alias("tokens"), (F.col("k") * F.col("known")).alias("known"),
+        (F.col("k") * F.col("base")).alias("base"), (F.col("k") * F.col("score")).alias("score"), F.lit(0).cast("long").alias("copies"))
     # Equal rows have equal sums: what they add up to is divided among them.
     sums = whole.unionByName(rare).groupBy("d1", "d2").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score", "copies")])
     kept = rows.select("doc_id", "held_out", "d1", "d2")

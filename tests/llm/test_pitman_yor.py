@@ -80,3 +80,30 @@ def test_odd_rows(spark):
     assert M.score(frame.limit(0), F.lit(False)).count() == 0
     every = M.score(frame, F.lit(True)).collect()
     assert len(every) == 6 and all(r.score == 0 == r.base_score for r in every)
+
+
+def test_context_is_the_token_before(spark):
+    texts = ["a b a c", "b a b b a", "c", None, "z a b", "x y x y x", "a b a c"]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [[None, *tokens(t)] for i, t in rows if i != 4]
+    c = Counter((u, w) for t in train for u, w in zip(t, t[1:]))
+    size, tables, customers = Counter(), Counter(), Counter()
+    for (u, w), n in c.items():  # one table a pair, as before the first sweep
+        size[u] += n
+        tables[u] += 1
+        customers[w] += 1
+    (d, th), (d0, th0), v = M.CONTEXT, M.PARENT, len(customers)
+
+    def log(u, w):
+        p0 = (customers[w] - d0 * (w in customers) + (th0 + d0 * v) / (v + 1)) / (th0 + len(c))
+        return math.log10((c[u, w] - d * ((u, w) in c) + (th + d * tables[u]) * p0) / (th + size[u]))
+
+    for frequent in (M.FREQUENT, 0.1, 0.2, 1.1):  # all, some or no tokens are sent to every task
+        got = {r.doc_id: r.score for r in M.score(frame, F.col("doc_id") == 4, 0, frequent).collect()}
+        for i, t in rows:
+            own = [None, *tokens(t)]
+            assert math.isclose(got[i], sum(log(u, w) for u, w in zip(own, own[1:])), rel_tol=1e-9), (i, frequent)
+    # Seated, with all or none of the tokens joined by key, the scores agree but for the draws.
+    a, b = ({r.doc_id: r.score for r in M.score(frame, F.col("doc_id") == 4, 4, f).collect()} for f in (M.FREQUENT, 1.1))
+    assert all(abs(a[i] - b[i]) < 0.15 * abs(a[i]) for i in a)
