@@ -1,8 +1,8 @@
 """Main text of web pages by removing what the pages of a site have in common.
 
 Every page is read as a tree. A digest of each element's subtree is counted per host over
-pages of different content; a subtree that recurs on many of them is part of the site's
-template and deleted. Menus, headers, footers, adverts, forms and comments that differ from
+pages of different content; a subtree that recurs on ``MIN_PAGES`` of them, however many
+pages the host has, is part of the site's template and deleted. Menus, headers, footers, adverts, forms and comments that differ from
 page to page go by element name, class and role. If a page has an ``article`` (else a
 ``main``), only that is text, and single paragraphs in it are never taken for a template:
 short sentences recur by chance, and passages are quoted.
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from leafgraph.functions.durable import cut
 from leafgraph.llm.html_tree import BLOCK, CONTAINERS, Page, digest, joined
 
-#: A subtree is a template's if it stands on so many pages of a host, and on such a share of them.
+#: A subtree is a template's if it stands on so many pages of a host.
 MIN_PAGES = 5
-MIN_SHARE = 0.05
-#: Hosts with this share of all pages: there are at most 1 / HOT_SHARE of them.
+#: Subtrees on this share of all pages: there are at most 1 / HOT_SHARE times those of a page.
 HOT_SHARE = 1e-3
 
 
@@ -91,31 +90,30 @@ def text_of(html: str, template: set[int]) -> str:
     return joined(texts)
 
 
-def _count_batches(batches):
+def _subtree_batches(batches):
     for batch in batches:
-        host, subtree, content = [], [], []
-        for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        at, subtree, content = [], [], []
+        for i, html in enumerate(batch.column("html").to_pylist()):
             mark, found = subtrees_of(html or "")
-            host += [h] * (len(found) + 1)
-            subtree += [None, *found]
-            content += [mark] * (len(found) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(subtree, pa.int64()), pa.array(content, pa.int64())], names=["host", "subtree", "content"])
+            at += [i] * len(found)
+            subtree += found
+            content += [mark] * len(found)
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page").take(at), batch.column("host").take(at), pa.array(subtree, pa.int64()), pa.array(content, pa.int64())],
+            names=["page", "host", "subtree", "content"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template, pages): the recurring subtrees of each host that has any.
+def _found(pages: DataFrame) -> DataFrame:
+    """(page, host, subtree, content) of each page's subtrees; ``pages`` has host and page."""
+    rows = pages.where("host <> ''").select("page", "host", F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_subtree_batches, "page long, host string, subtree long, content long")
 
-    A page has so many subtrees on average and a recurring one needs ``min_share`` of the
-    pages, so a host has at most 1 / min_share times that many.
-    """
-    rows = with_host(pages).where("host <> ''").select("host", F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(_count_batches, "host string, subtree long, content long")
-    counts = rows.groupBy("host", "subtree").agg(F.countDistinct("content").alias("n"), F.count("*").alias("pages"))
-    counts = cut(counts.where((F.col("n") >= min_pages) | F.col("subtree").isNull()))
-    totals = counts.where("subtree IS NULL").select("host", F.col("n").alias("of"), "pages")
-    found = counts.where("subtree IS NOT NULL").select("host", "subtree", "n")
-    found = found.join(totals, "host").where(F.col("n") >= F.col("of") * min_share)
-    return found.groupBy("host").agg(F.collect_list("subtree").alias("template"), F.first("pages").alias("pages"))
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree, pages, recurs): how many rows have each subtree of a host, and whether it is a template's."""
+    counts = found.groupBy("host", "subtree").agg(F.countDistinct("content").alias("n"), F.count("*").alias("pages"))
+    return counts.select("host", "subtree", "pages", (F.col("n") >= min_pages).alias("recurs"))
 
 
 def _text_batches(batches):
@@ -124,17 +122,21 @@ def _text_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text) of every page."""
-    found = cut(templates(pages, min_pages, min_share))
     rows = with_host(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), "host")
+    rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
+    found = cut(_found(rows))
     share = rows.count() * HOT_SHARE
-    hot = found.where(F.col("pages") > share).select("host", F.col("template").alias("of_hot"))
-    rest = found.where(F.col("pages") <= share).select(F.col("host").alias("site"), F.col("template").alias("of_rest"))
-    rows = rows.join(F.broadcast(hot), "host", "left")
-    # Pages whose template is at hand are dealt out by their content, not by their host.
-    site = F.when(F.col("of_hot").isNull() & (F.col("host") != ""), F.col("host")).otherwise(
-        F.concat(F.lit(" "), F.xxhash64("page_id", "html").cast("string")))
-    rows = rows.withColumn("site", site).join(rest, "site", "left")
-    rows = rows.select("page_id", "url", "html", F.coalesce("of_hot", "of_rest").alias("template"))
+    of = templates(found, min_pages)
+    of = cut(of.where(F.col("recurs") | (F.col("pages") > share)))
+    found = found.select("page", "host", "subtree")
+    # Subtrees on many pages go to every task, template or not; the others have no hot key.
+    hot = of.where(F.col("pages") > share).select("host", "subtree", "recurs")
+    found = found.join(F.broadcast(hot), ["host", "subtree"], "left")
+    rest = of.where(F.col("pages") <= share).select("host", "subtree")
+    gone = found.where("recurs").select("page", "subtree").unionByName(
+        found.where("recurs IS NULL").join(rest, ["host", "subtree"], "left_semi").select("page", "subtree"))
+    gone = gone.groupBy("page").agg(F.collect_set("subtree").alias("template"))
+    rows = rows.join(gone, "page", "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(_text_batches, "page_id long, url string, text string")

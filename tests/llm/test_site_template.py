@@ -71,3 +71,14 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert site_template.main_text(pages(spark, [])).count() == 0
+
+
+def test_a_block_on_few_pages_of_a_large_host_goes(spark):
+    def page(i):
+        note = f"<div>Notice {i // 6} of the site</div>" if i < 60 else ""
+        return (i, f"https://a.org/{i}", f"<body>{note}<div><p>Story {i} of this site</p></div></body>", "x", 1)
+
+    rows = [page(i) for i in range(3000)]  # each notice on 6 of 3,000 pages
+    rows += [(3000 + i, f"https://a.org/x{i}", f"<body><div>On four pages</div><p>Story x{i}</p></body>", "x", 1) for i in range(4)]
+    got = {r.page_id: r.text for r in site_template.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Story {i} of this site" for i in range(3000)} | {3000 + i: f"On four pages Story x{i}" for i in range(4)}
