@@ -247,6 +247,32 @@ def e9(spark, d):
     MEMO_INDEX,
 )
 def e10(spark, d):
+    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return enrich.augment_prompts(
+        items, "The", memo_index(spark, d), memo(spark, d), memo_tags(spark, d), k=3, excerpt=200
+    )
+
+
+@query(
+    "E10_augment_prompts_whole",
+    f"""WITH q AS (SELECT item_id, list_sort(list_distinct({_toks("'The ' || text")})) AS ts FROM benchmark),
+      qt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS term FROM q),
+      tf AS (SELECT node_id, term, sum(tf) AS tf FROM postings GROUP BY ALL),
+      scored AS (SELECT item_id, n, tf.node_id, count(*) AS m, sum({BM25}) AS score FROM qt JOIN tf USING (term)
+        JOIN term_df USING (term) JOIN lengths l ON l.node_id = tf.node_id GROUP BY item_id, n, tf.node_id),
+      hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, node_id) AS rank
+        FROM scored WHERE m = n) WHERE rank <= 3),
+      blocks AS (SELECT item_id, rank, {NL} || '**Context ' || CAST(rank AS VARCHAR) || '** (' || path || '):' || {NL}
+        || 'Tags: ' || (SELECT string_agg(tag, ', ' ORDER BY tag) FROM memo_tags t WHERE t.node_id = m.id) || {NL}
+        || CASE WHEN content_summary <> '' THEN content_summary ELSE content END AS b
+        FROM hits JOIN memo m ON m.id = hits.node_id),
+      joined AS (SELECT item_id, string_agg(b, {NL} ORDER BY rank) AS body FROM blocks GROUP BY item_id)
+    SELECT i.item_id AS query_id, CASE WHEN body IS NULL THEN 'The' ELSE 'The' || {NL} || {NL}
+      || '### Relevant Context from Knowledge Graph:' || {NL} || body || {NL} || {NL} || '### Task:' || {NL}
+      || 'Based on the above context, The' END AS prompt FROM benchmark i LEFT JOIN joined USING (item_id)""",
+    MEMO_INDEX,
+)
+def e10_whole(spark, d):
     items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return enrich.augment_prompts(
         items, "The", memo_index(spark, d), memo(spark, d), memo_tags(spark, d), k=3

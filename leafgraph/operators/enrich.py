@@ -257,20 +257,23 @@ def estimate_time(usage: DataFrame) -> DataFrame:
 
 def augment_prompts(
     items: DataFrame, instruction: str, index: Index, nodes: DataFrame, tags: DataFrame,
-    k: int = 5, excerpt: int = 200,
+    k: int = 5, excerpt: int | None = None,
 ) -> DataFrame:
     """``query_id, prompt``: the instruction with up to ``k`` related nodes of each item.
 
-    ``items`` is ``query_id, text``.  The words of the instruction and of the start of
-    the text must all occur in a node, as in a plain full-text match.
+    ``items`` is ``query_id, text``.  The words of the instruction and of the text
+    must all occur in a node, as in a plain full-text match.  With ``excerpt`` only so many
+    characters of the text are asked for, and of a node without a summary shown.
     """
-    asked = F.concat(F.lit(instruction + " "), F.left("text", F.lit(excerpt)))
+    text, whole = F.col("text"), F.col("content")
+    if excerpt is not None:
+        text = F.left(text, F.lit(excerpt))
+        whole = F.when(F.length("content") > excerpt, F.concat(F.left("content", F.lit(excerpt)), F.lit("..."))).otherwise(whole)
+    asked = F.concat(F.lit(instruction + " "), text)
     queries = items.select("query_id", index_tokens(asked, index.stemmer).alias("terms"))
     hits = search_batch(index, queries, k).select("query_id", "node_id", "rank")
     used = hits.select("node_id").distinct()
-    content = F.when(F.coalesce("content_summary", F.lit("")) != "", F.col("content_summary")).otherwise(
-        F.when(F.length("content") > 200, F.concat(F.left("content", F.lit(200)), F.lit("..."))).otherwise(F.col("content"))
-    )
+    content = F.when(F.coalesce("content_summary", F.lit("")) != "", F.col("content_summary")).otherwise(whole)
     shown = (
         nodes.join(used, nodes["id"] == used["node_id"], "left_semi")
         .select(F.col("id").alias("node_id"), "path", content.alias("shown"))
