@@ -240,6 +240,21 @@ def g8(spark, d):
     return graph.resolve_concepts(mentions, concepts_of_parts(spark, d))
 
 
+@query(
+    "G8_resolve_concepts_whole",
+    f"""WITH mentions AS (SELECT DISTINCT upper(p_name) || ' ' || p_type AS name FROM part UNION SELECT text FROM benchmark),
+      known AS (SELECT {_normal("p_name || '  ' || p_type")} AS key, arg_min('part-' || CAST(p_partkey AS VARCHAR), p_partkey)
+        AS concept_id FROM part GROUP BY 1)
+    SELECT name, concept_id FROM mentions LEFT JOIN known ON known.key = {_normal('name')}""",
+)
+def g8_whole(spark, d):
+    part = A.table(spark, d, "part")
+    mentions = part.select(F.concat(F.upper("p_name"), F.lit(" "), "p_type").alias("name")).unionByName(
+        A.table(spark, d, "benchmark").select(F.col("text").alias("name"))
+    )
+    return graph.resolve_concepts(mentions, concepts_of_parts(spark, d))
+
+
 @query(
     "G8_resolve_concepts_contains",
     f"""WITH mentions AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT event_type FROM events),

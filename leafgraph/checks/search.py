@@ -218,6 +218,28 @@ def q2d(spark, d):
     )
 
 
+@query(
+    "Q2_search_batch_whole",
+    f"""WITH q AS (SELECT item_id, list_sort(list_distinct({_toks('text')})) AS ts FROM benchmark),
+      qt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS term FROM q),
+      tf AS (SELECT node_id, term, sum(tf) AS tf FROM postings GROUP BY ALL),
+      scored AS (SELECT item_id, n, tf.node_id, count(*) AS m, sum({BM25}) AS score FROM qt JOIN tf USING (term)
+        JOIN term_df USING (term) JOIN lengths l ON l.node_id = tf.node_id GROUP BY item_id, n, tf.node_id),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, node_id) AS rank
+        FROM scored WHERE m = n)
+    SELECT item_id AS query_id, node_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
+    MEMO_INDEX,
+)
+def q2d_whole(spark, d):
+    queries = A.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), search.index_tokens(F.col("text"), "none").alias("terms")
+    )
+    out = search.search_batch(memo_index(spark, d), queries, 5)
+    return out.select(
+        "query_id", "node_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score")
+    )
+
+
 TAGS_OF = "(SELECT string_agg(tag, '|' ORDER BY tag) FROM memo_tags t WHERE t.node_id = m.id)"
 
 

@@ -41,14 +41,20 @@ def first_pages(spark, d):
     return A.convs(spark, d).filter("page_no = 0").select(graph.page_node("documents").alias("start"))
 
 
-def _walk_sql(links: str, depth: int) -> str:
-    return f"""walk AS (SELECT {PAGE} AS start, {PAGE} AS node, 0 AS depth FROM docs WHERE page_no = 0
+def all_pages(spark, d):
+    return A.convs(spark, d).select(graph.page_node("documents").alias("start"))
+
+
+def _walk_sql(links: str, depth: int, starts: str = "page_no = 0") -> str:
+    return f"""walk AS (SELECT {PAGE} AS start, {PAGE} AS node, 0 AS depth FROM docs WHERE {starts}
       UNION SELECT w.start, l.target, w.depth + 1 FROM walk w JOIN {links} l ON l.source = w.node WHERE w.depth < {depth}),
     seen AS (SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node)"""
 
 
 CTES["walk_out"] = _walk_sql("c_links", 2)
 CTES["walk_both"] = _walk_sql("c_both", 2)
+CTES["walk_out_all"] = _walk_sql("c_links", 2, "true")
+CTES["walk_both_all"] = _walk_sql("c_both", 2, "true")
 
 
 @query(
@@ -96,6 +102,51 @@ def q9b(spark, d):
     return edges.select("start", "source", "target", "type")
 
 
+@query(
+    "Q8_outgoing_nodes_whole",
+    """SELECT start, node, depth, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END
+      AS content FROM seen JOIN c_nodes ON id = node""",
+    (*CGRAPH, "walk_out_all"),
+    recursive=True,
+)
+def q8_whole(spark, d):
+    nodes, _ = traverse.outgoing_graph(all_pages(spark, d), conv_nodes(spark, d), conv_links(spark, d))
+    return nodes.select("start", "node", "depth", "content")
+
+
+@query(
+    "Q8_outgoing_edges_whole",
+    "SELECT start, source, target, type FROM seen JOIN c_links ON source = node",
+    (*CGRAPH, "walk_out_all"),
+    recursive=True,
+)
+def q8b_whole(spark, d):
+    _, edges = traverse.outgoing_graph(all_pages(spark, d), conv_nodes(spark, d), conv_links(spark, d))
+    return edges.select("start", "source", "target", "type")
+
+
+@query(
+    "Q9_subgraph_nodes_whole",
+    "SELECT start, node, depth FROM seen",
+    (*CGRAPH, "walk_both_all"),
+    recursive=True,
+)
+def q9_whole(spark, d):
+    nodes, _ = traverse.subgraph(all_pages(spark, d), conv_links(spark, d), 2)
+    return nodes
+
+
+@query(
+    "Q9_subgraph_edges_whole",
+    """SELECT DISTINCT start, source, target, type FROM seen JOIN c_links ON source = node OR target = node""",
+    (*CGRAPH, "walk_both_all"),
+    recursive=True,
+)
+def q9b_whole(spark, d):
+    _, edges = traverse.subgraph(all_pages(spark, d), conv_links(spark, d), 2)
+    return edges.select("start", "source", "target", "type")
+
+
 @query(
     "Q10_shortest_path",
     """WITH ends AS (SELECT 'n' || CAST(doc_id AS VARCHAR) AS start, 'n' || CAST(doc_id + 1 AS VARCHAR) AS goal
