@@ -134,3 +134,54 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     return pitman_yor.score(table(spark, folder, "documents"), held_out)
+
+
+def _quality_sql() -> str:
+    from leafgraph.llm import quality_rules as Q
+
+    word = r"[^\x20\x09-\x0D]+"
+    rates = {r: sql.replace(" div ", " // ") for r, (sql, _, _) in Q.RATES.items()}
+
+    def level(name: str, keys: str) -> str:
+        comma = f"{keys}, " if keys else ""
+        bounds = []
+        for r, (_, allowance, lower) in Q.RATES.items():
+            bounds.append(f"max(CASE WHEN rate = '{r}' THEN q3 + greatest({Q.REACH} * (q3 - q1), {allowance}) END) AS high_{r}")
+            if lower:
+                bounds.append(f"max(CASE WHEN rate = '{r}' THEN q1 - greatest({Q.REACH} * (q3 - q1), {allowance}) END) AS low_{r}")
+        return f"""{name} AS (SELECT {comma}max(n) AS n_docs, {', '.join(bounds)} FROM (
+            SELECT {comma}rate, max(n) AS n, min(CASE WHEN 4 * seen >= n THEN bucket END) AS q1, min(CASE WHEN 4 * seen >= 3 * n THEN bucket END) AS q3
+            FROM (SELECT *, sum(k) OVER (PARTITION BY {comma}rate ORDER BY bucket) AS seen, sum(k) OVER (PARTITION BY {comma}rate) AS n
+                FROM (SELECT {comma}rate, bucket, count(*) AS k FROM buckets GROUP BY ALL)) GROUP BY ALL) {f'GROUP BY {keys}' if keys else ''})"""
+
+    names = [f"{side}_{r}" for r, (_, _, lower) in Q.RATES.items() for side in (("high", "low") if lower else ("high",))]
+    pick = ", ".join(
+        f"CASE WHEN o.n_docs >= {Q.LEAST} THEN o.{c} WHEN l.n_docs >= {Q.LEAST} THEN l.{c} ELSE (SELECT {c} FROM whole) END AS {c}" for c in names)
+    usual = " AND ".join(f"({rates[c.split('_', 1)[1]]}) {'<=' if c.startswith('high') else '>='} {c}" for c in names)
+    value = "CASE rate " + " ".join(f"WHEN '{r}' THEN {sql}" for r, sql in rates.items()) + " END"
+    rate_list = ", ".join(f"'{r}'" for r in rates)
+    return f"""WITH split AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l,
+        row_number() OVER () AS row FROM documents),
+    windows AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, w FROM split),
+    again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS n FROM windows) WHERE n > 1),
+    repeated AS (SELECT row, count(DISTINCT i + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY row),
+    counts AS (SELECT row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+        FROM split LEFT JOIN repeated USING (row)),
+    judged AS (SELECT *, n_words < {Q.LEAST_WORDS} OR 100 * n_repeat_words > {Q.MOST_REPEATED} * n_words AS base_failed FROM counts),
+    buckets AS (SELECT lang, source, rate, v >> greatest(length(bin(v)) - {Q.DIGITS}, 0) << greatest(length(bin(v)) - {Q.DIGITS}, 0) AS bucket
+        FROM (SELECT lang, source, rate, {value} AS v FROM (SELECT *, unnest([{rate_list}]) AS rate FROM judged WHERE NOT base_failed))),
+    {level('own', 'lang, source')}, {level('of_lang', 'lang')}, {level('whole', '')},
+    found AS (SELECT o.lang, o.source, {pick} FROM own o LEFT JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang)
+    SELECT doc_id, j.n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        CASE WHEN base_failed THEN false ELSE coalesce({usual}, false) END AS kept
+    FROM judged j LEFT JOIN found f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source"""
+
+
+@query("op12_quality_rules", _quality_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import quality_rules
+
+    return quality_rules.quality(table(spark, folder, "documents")).drop("lang", "source", "n_lines")
