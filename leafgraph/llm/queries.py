@@ -185,3 +185,40 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from leafgraph.llm import quality_rules
 
     return quality_rules.quality(table(spark, folder, "documents")).drop("lang", "source", "n_lines")
+
+
+def _spelling_sql() -> str:
+    from leafgraph.llm import spelling as S
+
+    latin = "".join(chr(c) for c in range(0xC0, 0x100))
+    # One byte for each letter, as edits are to be counted in code points.
+    plain = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) not in "'")[:64]
+    code = "CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END"
+    return f"""WITH RECURSIVE
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+    runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id,
+        unnest(regexp_extract_all(translate(text, '{S.UPPER}', '{S.LOWER}'), '{S.LETTERS}')) AS run FROM documents) GROUP BY ALL),
+    bytes AS (SELECT *, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: {code})) AS b FROM runs),
+    hashed AS (SELECT doc_id, run, k, xor(4294967295, list_reduce(list_prepend(4294967295, CAST(b AS BIGINT[])),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc_table),
+    heard AS (SELECT k, CASE WHEN doc_id IS NOT NULL AND h % 199 = 0
+        THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word FROM hashed),
+    vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, translate(word, '{latin}', '{plain}') AS w, length(word) AS size
+        FROM heard WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM vocabulary a JOIN vocabulary b
+        ON b.size BETWEEN a.size - 1 AND a.size + 1 AND levenshtein(a.w, b.w) = 1),
+    best AS (SELECT word, count(*) AS n_near, min_by(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    found AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form,
+        CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS here, 0 AS step FROM found
+        UNION ALL SELECT walk.word, found.form, step + 1 FROM walk JOIN found ON found.word = walk.here WHERE found.form IS NOT NULL),
+    last AS (SELECT word, max_by(here, step) AS root FROM walk GROUP BY word)
+    SELECT word, n, n_near, form, form_n, root FROM found JOIN last USING (word)"""
+
+
+@query("op13_spelling_variants", _spelling_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import spelling
+
+    return spelling.variants(spelling.words(table(spark, folder, "documents")))
