@@ -222,3 +222,27 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     from leafgraph.llm import spelling
 
     return spelling.variants(spelling.words(table(spark, folder, "documents")))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH valid AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, x.vec_id, x.label = a.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+    FROM valid a JOIN valid x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from leafgraph.llm import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), "vec_id % 100 = 0", label)
