@@ -27,6 +27,9 @@ from leafgraph.llm.word_ids import WordIds, per_document
 #: Bytes of words given to one recursive query.
 GROUP_BYTES = 1 << 18
 
+#: Ids of one row of the ordered aggregation, and of one such query.
+PIECE = 1 << 18
+
 #: Words of more bytes than this are contracted at all equal pairs at once.
 LONG_WORD = 64
 
@@ -151,22 +154,25 @@ class Merger:
         return np.concatenate(lengths), np.concatenate(ids)
 
     def decode(self, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each list of ids."""
-        out: list[bytes] = []
-        ends = np.cumsum(lengths)
-        off = np.concatenate([[0], ends])
-        for i, j in A.runs(off, GROUP_BYTES // 4):
-            n = lengths[i:j]
-            w = np.repeat(np.arange(j - i, dtype=np.int32), n)
-            p = np.arange(len(w), dtype=np.int64)
+        """The bytes of each list of ids, put together in order of position.
+
+        A list is given in pieces of bounded length, so that no row of the query is large.
+        """
+        pieces = np.maximum(-(-lengths // PIECE), 1)
+        of = np.repeat(np.arange(len(lengths)), pieces)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(lengths[of] - number * PIECE, PIECE)
+        off = np.concatenate([[0], np.cumsum(size)])
+        out: list[list[bytes]] = [[] for _ in lengths]
+        for i, j in A.runs(off, PIECE):
+            w = np.repeat(np.arange(j - i, dtype=np.int32), size[i:j])
+            p = (np.arange(len(w)) - np.repeat(off[i:j] - off[i], size[i:j])).astype(np.int32)
             self.con.register("ids", pa.table({"w": w, "p": p, "t": ids[off[i]:off[j]].astype(np.int32)}))
             got = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("ids")
-            own = [b""] * (j - i)
-            for k, x in zip(got["w"].to_pylist(), got["bytes"].to_pylist()):
-                own[k] = bytes.fromhex(x)
-            out += own
-        return out
+            for k, x in zip(of[i + got["w"].to_numpy()].tolist(), got["bytes"].to_pylist()):
+                out[k].append(bytes.fromhex(x))
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(2)
@@ -186,31 +192,21 @@ def _encoded(batch: pa.RecordBatch, known: WordIds):
         yield i, j, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(known.gather(start, length)))
 
 
-def _decoded(column: pa.ListArray, merger: Merger, known: dict[int, bytes]) -> pa.Array:
+def _decoded(column: pa.ListArray, merger: Merger) -> pa.Array:
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     flat = column.values.to_numpy(zero_copy_only=False)
-    out = []
-    for i, j in A.runs(off, A.RUN_BYTES // 4):
-        ids = flat[off[i]:off[j]]
-        new = np.array([x for x in np.unique(ids).tolist() if x not in known], np.int32)
-        if len(new):
-            known.update(zip(new.tolist(), merger.decode(np.ones(len(new), np.int64), new)))
-        tokens = list(map(known.__getitem__, ids.tolist()))
-        edge = (off[i:j + 1] - off[i]).tolist()
-        out += [b"".join(tokens[a:b]) for a, b in zip(edge, edge[1:])]
-    return pa.array(out, pa.binary())
+    return pa.array(merger.decode(np.diff(off), flat[off[0]:off[-1]]), pa.binary())
 
 
 def _batches(path: str, with_encode: bool, with_decode: bool):
     def run(batches):
         merger, words = worker(path)
-        tokens: dict[int, bytes] = {}
         for batch in batches:
             parts = _encoded(batch, words) if with_encode else [(0, batch.num_rows, batch.column("ids"))]
             for i, j, ids in parts:
                 columns = {"doc_id": batch.column("doc_id").slice(i, j - i), "ids": ids}
                 if with_decode:
-                    columns["decoded"] = _decoded(ids, merger, tokens)
+                    columns["decoded"] = _decoded(ids, merger)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run

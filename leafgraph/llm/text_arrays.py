@@ -12,9 +12,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 RUN_BYTES = 1 << 20
+#: Bytes up to which a piece is named by a sum of powers.
+SUMMED = 32
 
 _MULT = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -99,13 +102,21 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each piece of text; equal bytes have equal names, wherever they stand."""
+    """A 64-bit name of each piece of text; equal bytes have equal names, wherever they stand.
+
+    Sums of powers modulo 2^64 are weak for long pieces, which are hashed one by one instead.
+    """
     n = len(data)
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_codes()[data] * power[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    return finish(h + (ends - starts).astype(np.uint64))
+    h = finish(h + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > SUMMED)
+    if len(long):
+        whole = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return h
 
 
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -11,9 +11,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from leafgraph.llm import bpe, packing, queries
 from leafgraph.llm import text_arrays as A
+from leafgraph.llm.word_ids import WordIds
 
 FOLDER = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,6 +76,44 @@ def test_bpe_query(spark):
     assert {tuple(r) for r in queries.op10(spark, FOLDER).collect()} == want
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_of_one_name(spark, monkeypatch):
+    """Texts whose sums of powers agree, and words that are given one name on purpose."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    twins = [thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")]
+    data, off = A.utf8(pa.array(twins))
+    assert len(set(A.names(data, off[:-1], off[1:]).tolist())) == 2
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert lib.encode_ordinary(twins[0]) != lib.encode_ordinary(twins[1])
+    rows = spark.createDataFrame([(i + 1, t, "x") for i, t in enumerate(twins)], "doc_id long, text string, ids string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(rows, RANKS).collect()}
+    assert got == {i + 1: lib.encode_ordinary(t) for i, t in enumerate(twins)}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = Tokenizer.from_file(path)
+    check_packs(packing.pack(rows, path).withColumn("ids_crc32", F.crc32("ids")).collect(), {i + 1: packed.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(twins)})
+    # Every name alike: nothing may be confused, in one batch or over batches.
+    monkeypatch.setattr(A, "names", lambda d, s, e: np.full(len(s), 7, np.uint64))
+    words = WordIds(bpe.Merger(RANKS).encode)
+    for text in ("one two one", "two three one", "four"):
+        data, off = A.utf8(pa.array([text]))
+        s, e = A.pretokens(data, off)
+        assert words.gather(*words.of(data, s, e)).tolist() == lib.encode_ordinary(text)
+
+
+def test_decoding_of_long_lists(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 7)
+    merger = bpe.Merger(RANKS)
+    lists = [[1, 2, 3], [], list(range(100, 150)), [5], list(range(40, 54))]
+    token = {n: t for t, n in bpe.read_ranks(RANKS).items()}
+    got = merger.decode(np.array([len(x) for x in lists]), np.array([x for y in lists for x in y]))
+    assert got == [b"".join(token[x] for x in y) for y in lists]
+
+
 def test_cuts():
     n = np.array([1, 2, 3, 1023, 1024, 1025, 5000])
     doc, start, length = packing.cuts(n, 1024)
