@@ -1,23 +1,26 @@
 """Near copies by MinHash, banding and sequential Bayesian verification.
 
-A document is the set of its distinct runs of ``words`` words. Documents with equal sets are
-one class, whatever their number; the rest works on a representative of each, the one of
-least doc_id. Classes whose signatures agree on all rows of a band are candidates. Their
+A document is the set of its distinct runs of ``words`` words. Rows with equal sets are one
+class, whatever their number; the rest works on classes, each with the text of one of its
+rows. Classes whose signatures agree on all rows of a band are candidates. Their
 signatures are compared batch by batch; a pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold, given the agreements so far and a
 flat prior, is below ``MISS``. Survivors are confirmed on their full sets.
 
 Buckets of a band can hold any number of classes, so pairs are not formed within them. First
-every member is compared with the member that shares most bands with others, as the original
-of a group of edited copies does: one pair a member. What is then known to be connected is
-not compared again. In each bucket the members outside its first member's component meet
-all others that they are not connected with, in blocks, and in the first band that two share
-only; blocks give links, not pairs. So a group of near copies costs one comparison a member
-and what its stragglers need, and no pair that could join two components is left out.
+every member is compared with the member that shares most bands with others, its hub, as the
+original of a group of edited copies is: one pair a member. A hub's row comes first in its
+groups of at most ``STAR`` members, which stream past it. What is then known to be connected
+is not compared again. Of buckets with the same members the one of the first band is kept,
+and there the members outside the hub's component meet all others but the hub that they are
+not connected with, in blocks, and in the first band that two share only; blocks give links,
+not pairs. So a group of near copies costs one comparison a member and what its stragglers
+need, and no pair that could join two components is left out.
 
 Null texts count as empty; a document without words is linked with nothing. Rows with a null
-doc_id are linked with nothing and kept. Rows with equal doc_id are one document in as far
-as they are connected: any of them stands for it. Extra columns are ignored.
+doc_id are linked with nothing and kept. Rows with equal doc_id and equal text are one
+document; different texts under one doc_id are told apart. Extra columns are ignored, or kept
+as they are by ``without_near_copies``.
 """
 
 from __future__ import annotations
@@ -36,13 +39,18 @@ from leafgraph.llm import text_arrays as A
 from leafgraph.llm.repeats import packed
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3e-6 at 0.8, 7e-9 at 0.85.
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 32, 5  # BANDS is a power of two
 HASHES = BANDS * ROWS
 BATCH = 32
 #: The probability at which a pair is given up though its similarity may reach the threshold.
 MISS = 1e-7
-#: Members of a bucket that meet at a time.
+#: Members of a bucket that meet at a time, and members that stream past one copy of their hub.
 BLOCK = 512
+STAR = 512
+#: Bytes of full sets that a task keeps at a time.
+KEPT_BYTES = 32 << 20
+#: Keys with more than this share of all rows, at most as many, are met in every task instead of by key.
+HEAVY = 64
 
 
 @lru_cache(1)
@@ -82,7 +90,7 @@ def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, signature binary"
+SKETCH = "doc_id long, t long, n_shingles long, s1 long, s2 long, signature binary"
 
 
 def _sketch_batches(words: int):
@@ -102,19 +110,20 @@ def _sketch_batches(words: int):
                     for k, x in zip(full.tolist(), signatures(names, start)):
                         sign[k] = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sign, pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "signature"])
+                    [batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sign, pa.binary())],
+                    names=["doc_id", "t", "n_shingles", "s1", "s2", "signature"])
 
     return run
 
 
 def _band_keys(sign: np.ndarray) -> np.ndarray:
-    """The key of each band's bucket, a row for each signature."""
+    """The key of each band's bucket, a row for each signature; its last digits are the band."""
     sign = sign.reshape(-1, BANDS, ROWS)
     key = np.zeros((len(sign), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :]
     for r in range(ROWS):
         key = A.finish(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
-    return key.view(np.int64)
+    band = np.arange(BANDS, dtype=np.uint64)[None, :]
+    return (key & ~np.uint64(BANDS - 1) | band).view(np.int64)
 
 
 def _band_batches(batches):
@@ -143,22 +152,18 @@ def least_agreements(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _prune_batches(threshold: float, miss: float):
-    def run(batches):
-        least = least_agreements(threshold, miss)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, HASHES) for c in ("sa", "sb"))
-            alive, m = np.arange(n), np.zeros(n, np.int64)
-            for k, floor in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                m[alive] += (left[alive, part] == right[alive, part]).sum(1)
-                alive = alive[m[alive] >= floor]
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+def alive(own: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Rows of ``others`` that may reach the threshold with the signature ``own``, compared batch by batch, most agreements first."""
+    at, m = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for k, floor in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        m += (others[at, part] == own[part]).sum(1)
+        at, m = at[m >= floor], m[m >= floor]
+    return at[np.argsort(-m, kind="stable")]
 
-    return run
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
 def set_of(packed_text: bytes, words: int) -> np.ndarray:
@@ -173,25 +178,26 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm_batches(words: int, percent: int):
-    """Pairs whose full sets reach the threshold."""
+def _star_batches(words: int, percent: int, least: tuple[int, ...]):
+    """Links between hubs and the members that follow each; rows are sorted by (a, salt), hubs first (b is null)."""
 
     def run(batches):
+        group, sign, own = None, None, None
         for batch in batches:
-            known: dict = {}
-            found = []
-            for i in range(batch.num_rows):
-                sets = []
-                for n, t in (("a", "ta"), ("b", "tb")):
-                    key = batch.column(n)[i].as_py()
-                    if key not in known:
-                        if len(known) > 200:
-                            known.clear()
-                        known[key] = set_of(batch.column(t)[i].as_py(), words)
-                    sets.append(known[key])
-                if reaches(*sets, percent):
-                    found.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                a, salt = part.column("a").to_numpy(), part.column("salt").to_numpy()
+                hub = np.array(part.column("b").is_null())
+                signs, texts = _signatures(part.column("signature")), part.column("packed")
+                edge = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(a)]
+                out = []
+                for i, j in zip(edge[:-1], edge[1:]):
+                    if hub[i]:
+                        group, sign, own, i = (a[i], salt[i]), signs[i], set_of(texts[i].as_py(), words), i + 1
+                    assert i == j or group == (a[i], salt[i])
+                    for x in np.sort(i + alive(sign, signs[i:j], least)).tolist():
+                        if reaches(own, set_of(texts[x].as_py(), words), percent):
+                            out.append(x)
+                yield part.select(["a", "b"]).take(pa.array(out, pa.int64()))
 
     return run
 
@@ -206,31 +212,30 @@ def _meet_batches(words: int, percent: int, threshold: float):
     def links(table: pa.Table):
         left = table["left"].to_numpy(zero_copy_only=False)
         rep, comp = table["rep"].to_numpy(), table["least"].to_numpy()
-        sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        sign = _signatures(table["signature"])
         key = table["key"].to_numpy()[0]
         keys = _band_keys(sign)
-        band = int(np.flatnonzero((keys == key).all(0))[0])
+        band = int(key) & (BANDS - 1)
         within = table["t"].to_numpy()[0] < 0 and table["a"].to_numpy()[0] == -1 - table["t"].to_numpy()[0]
         ask, meet = np.flatnonzero(left), np.flatnonzero(left if within else ~left)
-        texts, sets, out = table["packed"], {}, []
+        texts, sets, held, out = table["packed"], {}, 0, []
         least = least_agreements(threshold, MISS)
         for i in ask.tolist():
             others = meet[comp[meet] != comp[i]]
             if within:
                 others = others[others > i]
             others = others[~(keys[others, :band] == keys[i, :band]).any(1)] if band else others
-            m = np.zeros(len(others), np.int64)
-            for k, floor in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                m += (sign[others, part] == sign[i, part]).sum(1)
-                others, m = others[m >= floor], m[m >= floor]
             done = set()
-            for j in others[np.argsort(-m, kind="stable")].tolist():
+            for j in others[alive(sign[i], sign[others], least)].tolist():
                 if comp[j] in done:
                     continue
+                if held > KEPT_BYTES:
+                    sets.clear()
+                    held = 0
                 for x in (i, j):
                     if x not in sets:
                         sets[x] = set_of(texts[x].as_py(), words)
+                        held += sets[x].nbytes
                 if reaches(sets[i], sets[j], percent):
                     done.add(comp[j])
                     out.append((rep[i], rep[j]))
@@ -261,85 +266,143 @@ def _group_edges(table: pa.Table) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), len(k)]
 
 
+def matched(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; frequent keys of ``left`` are met in every task.
+
+    ``counts`` (keys, n) are the rows of ``left`` by key, if known.
+    """
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heavy = cut(counts.where(HEAVY * F.col("n") > total).select(*keys))  # fewer than HEAVY rows
+    if heavy.isEmpty():
+        return left.join(right, list(keys), how)
+    few = F.broadcast(heavy)
+    rest = left.join(few, list(keys), "left_anti").join(right, list(keys), how)
+    return left.join(few, list(keys), "left_semi").join(F.broadcast(right.join(few, list(keys), "left_semi")), list(keys), how).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node that each node of the links (a, b) is connected with.
 
     Every round tells each node the least label next to it, and then the label of its label,
-    so that a chain takes as many rounds as its length has binary digits, about.
+    so that a chain takes as many rounds as its length has binary digits, about. Nodes with
+    very many links, and labels of very many nodes, are met in every task.
     """
     edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("least")))
+    degrees = cut(edges.groupBy("b").agg(F.count("*").alias("n")))
     while True:
-        far = edges.join(labels.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("near"))
-        near = labels.join(far, "node").select("node", F.least("least", "near").alias("least"), F.col("least").alias("old"))
+        far = matched(edges, labels.select(F.col("node").alias("b"), "least"), "b", counts=degrees)
+        far = far.groupBy(F.col("a").alias("node")).agg(F.min("least").alias("near"))
+        near = cut(labels.join(far, "node").select("node", F.least("least", "near").alias("least"), F.col("least").alias("old")))
         hop = near.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        new = cut(near.join(hop, "least", "left").select("node", F.coalesce("next", "least").alias("least"), "old"))
+        new = cut(matched(near, hop, "least", how="left").select("node", F.coalesce("next", "least").alias("least"), "old"))
         labels = new.select("node", "least")
         if new.where("least <> old").isEmpty():
             return labels
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = cut(rows.mapInArrow(_sketch_batches(words), SKETCH))
-    full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes, (full.doc_id == classes.rep) & (full.s1 == classes.s1) & (full.s2 == classes.s2), "left_semi")
-    reps = cut(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.first("signature").alias("signature")))
-    members = reps.mapInArrow(_band_batches, "key long, rep long")
-    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(cut(many), "key"))
-    weights = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
-    members = members.join(weights, "rep").select("key", "rep", "weight")
-    # Texts of the candidates only; their sets are made where a pair is confirmed.
-    asked = cut(members.select("rep").distinct())
-    texts = rows.join(asked, rows.doc_id == asked.rep, "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text"))
-    texts = cut(packed(texts))
-    threshold = percent / 100
-    first = cut(members.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a")))
-    pairs = members.join(first, "key").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-    pairs = cut(pairs.distinct())
-    sign = lambda n, s: reps.select(F.col("rep").alias(n), F.col("signature").alias(s))
-    alike = cut(pairs.join(sign("a", "sa"), "a").join(sign("b", "sb"), "b").mapInArrow(_prune_batches(threshold, MISS), "a long, b long"))
-    text = lambda n, t: texts.select(F.col("rep").alias(n), F.col("packed").alias(t))
-    links = cut(alike.join(text("a", "ta"), "a").join(text("b", "tb"), "b").mapInArrow(_confirm_batches(words, percent), "a long, b long"))
-    of = components(links)
-    # Members that are not connected with their bucket's first meet all others there.
+def _star_links(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, least: tuple[int, ...]) -> DataFrame:
+    """The pairs (hub a, member b) that reach the threshold."""
+    sizes = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    salted = matched(pairs, sizes.withColumn("salts", F.ceil(F.col("n") / STAR)).drop("n"), "a", counts=sizes)
+    salted = cut(salted.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")))
+    body = lambda key: bodies.withColumnRenamed("rep", key)
+    members = salted.join(body("b"), "b").select("a", "salt", "b", "signature", "packed")
+    hubs = salted.select("a", "salt").distinct().join(body("a"), "a")
+    hubs = hubs.select("a", "salt", F.lit(None).cast("long").alias("b"), "signature", "packed")
+    rows = members.unionByName(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_star_batches(words, percent, least), "a long, b long")
+
+
+def _straggler_links(members: DataFrame, first: DataFrame, counts: DataFrame, of: DataFrame, bodies: DataFrame, words: int, percent: int, threshold: float) -> DataFrame:
+    """Links of members that their bucket's hub does not reach with the others of the bucket."""
     label = lambda n, c: of.select(F.col("node").alias(n), F.col("least").alias(c))
-    now = members.select("key", "rep").join(label("rep", "least"), "rep", "left").select("key", "rep", F.coalesce("least", "rep").alias("least"))
-    main = first.join(label("a", "main"), "a", "left").select("key", F.coalesce("main", "a").alias("main"))
-    now = now.join(cut(main), "key").withColumn("asks", F.col("least") != F.col("main")).drop("main")
-    size = lambda asks: F.ceil(F.count(F.when(F.col("asks") == asks, 1)) / BLOCK).cast("int")
-    sizes = cut(now.groupBy("key").agg(size(True).alias("askers"), size(False).alias("others")).where("askers > 0"))
-    now = now.join(sizes, "key")
-    block = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("others"))).cast("int")
-    now = now.withColumn("own", block)
-    each = lambda n: F.sequence(F.lit(0), n - 1)
+    main = cut(first.join(label("a", "main"), "a", "left").select("key", "a", F.coalesce("main", "a").alias("main")))
+    now = matched(members.select("key", "rep"), main, "key", counts=counts).where("rep <> a").drop("a")
+    now = now.join(label("rep", "least"), "rep", "left").withColumn("least", F.coalesce("least", "rep"))
+    now = cut(now.select("key", "rep", "least", (F.col("least") != F.col("main")).alias("asks")))
+    name = F.xxhash64("rep")
+    number = lambda asks: F.count(F.when(F.col("asks") == asks, 1))
+    buckets = now.groupBy("key").agg(
+        number(True).alias("askers"), number(False).alias("others"), F.sum(F.shiftright(name, 20)).alias("x"), F.bit_xor(name).alias("y"))
+    # Fewer than two members besides the hub have all been compared.
+    buckets = buckets.where("askers > 0 AND askers + others > 1")
+    band = F.pmod("key", F.lit(BANDS))
+    buckets = buckets.groupBy("x", "y", "askers", "others").agg(F.min_by("key", band).alias("key"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
+    buckets = cut(buckets.select("key", blocks("askers"), blocks("others"), (F.col("askers") + F.col("others")).alias("n")))
+    inside = now.join(buckets.select("key"), "key", "left_semi")
+    now = matched(inside, buckets.drop("n"), "key", counts=buckets.select("key", "n"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("others"))).cast("int")
+    now = now.withColumn("own", own)
+    each = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     place = lambda a, t, left: F.struct(a.cast("int").alias("a"), t.cast("int").alias("t"), F.lit(left).alias("left"))
-    zero, own = F.lit(0), F.col("own")
+    own = F.col("own")
     meets = F.when(
         F.col("asks"),
         F.concat(
-            F.transform(each(F.col("others")), lambda t: place(own, t, True)),
-            F.transform(F.filter(each(F.col("askers")), lambda u: u >= own), lambda u: place(own, -1 - u, True)),
-            F.transform(F.filter(each(F.col("askers")), lambda u: u < own), lambda u: place(u, -1 - own, False)),
+            F.transform(each("others"), lambda t: place(own, t, True)),
+            F.transform(F.filter(each("askers"), lambda u: u >= own), lambda u: place(own, -1 - u, True)),
+            F.transform(F.filter(each("askers"), lambda u: u < own), lambda u: place(u, -1 - own, False)),
         ),
-    ).otherwise(F.transform(each(F.col("askers")), lambda u: place(u, own, False)))
+    ).otherwise(F.transform(each("askers"), lambda u: place(u, own, False)))
     now = now.select("key", "rep", "least", F.explode(meets).alias("x")).select("key", "x.a", "x.t", "x.left", "rep", "least")
-    now = now.join(reps, "rep").join(texts, "rep").select("key", "a", "t", "left", "rep", "least", "signature", "packed")
+    now = now.join(bodies, "rep").select("key", "a", "t", "left", "rep", "least", "signature", "packed")
     order = ["key", "a", "t"]
     now = now.repartition(*order).sortWithinPartitions(*order)
-    more = cut(now.mapInArrow(_meet_batches(words, percent, threshold), "a long, b long"))
-    of = components(links.unionByName(more)).select(F.col("node").alias("rep"), "least")
-    named = classes.join(of, "rep", "left").select("s1", "s2", F.coalesce("least", "rep").alias("least"))
-    found = sketch.select("doc_id", "n_shingles", "s1", "s2").join(cut(named), ["s1", "s2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return now.mapInArrow(_meet_batches(words, percent, threshold), "a long, b long")
+
+
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, kept) of every row; t is a hash of its text."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _text_hash(docs).alias("t"))
+    sketch = cut(rows.mapInArrow(_sketch_batches(words), SKETCH))
+    full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("own"), F.first("signature").alias("signature"))
+    # Numbered as it is written; what is read back has the same numbers every time.
+    reps = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "own.doc_id", "own.t", "signature"))
+    members = reps.select("rep", "signature").mapInArrow(_band_batches, "key long, rep long")
+    counts = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(matched(members, counts, "key", counts=counts))
+    weights = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
+    # Texts of the candidates only; their sets are made where a pair is confirmed.
+    asked = reps.join(weights.select("rep"), "rep", "left_semi").select("rep", "doc_id", "t")
+    texts = rows.join(asked, ["doc_id", "t"]).groupBy("rep").agg(F.first("text").alias("text"))
+    bodies = cut(packed(texts).join(reps.select("rep", "signature"), "rep"))
+    threshold = percent / 100
+    least = least_agreements(threshold, MISS)
+    heaviest = members.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))
+    first = cut(heaviest)
+    pairs = matched(members.select("key", "rep"), first, "key", counts=counts).where("rep <> a")
+    pairs = cut(pairs.select(F.col("a"), F.col("rep").alias("b")).distinct())
+    links = cut(_star_links(pairs, bodies, words, percent, least))
+    of = components(links)
+    more = cut(_straggler_links(members, first, counts, of, bodies, words, percent, threshold))
+    if not more.isEmpty():
+        of = components(links.unionByName(more))
+    # A component is named by the least doc_id of its classes.
+    least_id = of.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("least").agg(F.min("doc_id").alias("component"))
+    of = matched(of, least_id, "least").select(F.col("node").alias("rep"), "component")
+    named = cut(reps.join(of, "rep", "left").select("s1", "s2", F.coalesce("component", "doc_id").alias("component")))
+    found = matched(sketch.select("doc_id", "t", "n_shingles", "s1", "s2"), named, "s1", "s2", how="left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    found = found.select("doc_id", "t", "n_shingles", own.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _judged(docs, words, percent).drop("t")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies, the one of least doc_id, as it is."""
-    gone = near_copies(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(cut(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = _judged(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_text")).distinct()
+    gone = cut(gone)
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone_id"]) & (_text_hash(docs) == gone["_gone_text"]), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from leafgraph.llm import text_arrays as A
 
 #: Words remembered by one worker; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBERED = 3_000_000
+REMEMBERED = 500_000
 
 
 def _same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:

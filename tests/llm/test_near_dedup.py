@@ -83,3 +83,39 @@ def test_nulls_repeats_and_empty(spark):
 def test_posterior_bounds_rise():
     least = near_dedup.least_agreements(0.8, 1e-7)
     assert list(least) == sorted(least) and least[0] > 0 and least[-1] < 0.8 * near_dedup.HASHES
+
+
+def test_one_doc_id_on_two_texts(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    a = [word() for _ in range(60)]
+    alike = " ".join([*a[:-1], "changed"])
+    other = " ".join(word() for _ in range(60))
+    schema = "doc_id long, text string, gone long, t string, n string, _gone_id long"
+    rows = [(3, alike, 1, "x", None, 3), (5, " ".join(a), 2, "y", None, 5), (5, other, 3, "z", None, 5), (None, other, 4, None, None, None), (9, None, 5, None, None, 9)]
+    frame = spark.createDataFrame(rows, schema)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles, r.kept) for r in near_dedup.near_copies(frame, 2).collect())
+    assert got == [(0, 0, 59, True), (3, 3, 59, True), (5, 3, 59, False), (5, 5, 59, True), (9, 9, 0, True)]
+    kept = near_dedup.without_near_copies(frame, 2)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+    assert near_dedup.without_near_copies(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_large_groups_and_blocks(spark, monkeypatch):
+    """Stars and blocks of a few members, hot labels, and stragglers that only other members reach."""
+    for name, size in (("BLOCK", 4), ("STAR", 3), ("KEPT_BYTES", 2_000)):
+        monkeypatch.setattr(near_dedup, name, size)
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts, key = {}, 0
+    for size, changes in ((40, 2), (25, 5), (3, 1), (12, 9)):
+        base = [rnd.choice(vocabulary) for _ in range(100)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rnd.randint(0, changes)):
+                own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+            texts[key] = " ".join(own)
+            key += 1
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in near_dedup.near_copies(frame, 2).collect()} == brute(texts, 2)
