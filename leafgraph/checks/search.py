@@ -6,7 +6,8 @@ from leafgraph.checks.base import CTES, lit, query
 from leafgraph.checks.graph import DOC, PAGE, documents
 from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
-from leafgraph.operators import graph, search
+from leafgraph.functions.durable import scratch_folder
+from leafgraph.operators import graph, search, stored
 from leafgraph.sources import adapters as A
 
 EPOCH = 1_704_067_200  # 2024-01-01
@@ -240,6 +241,81 @@ def q2d_whole(spark, d):
     )
 
 
+# --- the same searches on an index in files -------------------------------------------
+
+
+def memo_stored(spark, d, stemmer="none"):
+    return stored.build_stored(memo(spark, d), memo_tags(spark, d), scratch_folder(spark, "stored"), stemmer)
+
+
+@query(
+    "Q2_stored_top",
+    f"""WITH hits AS (SELECT node_id, term, sum(tf) AS tf FROM postings WHERE term IN ('ther', 'than', 'of') GROUP BY ALL),
+      scored AS (SELECT h.node_id, sum({BM25}) AS score FROM hits h JOIN term_df USING (term)
+        JOIN lengths l ON l.node_id = h.node_id GROUP BY h.node_id)
+    SELECT node_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, node_id LIMIT 10""",
+    MEMO_INDEX,
+)
+def q2_stored_top(spark, d):
+    """The best of any of the words, from the levels of postings that can reach them."""
+    out = stored.search(memo_stored(spark, d), any_terms=["ther", "than", "of"], limit=10)
+    return out.select("node_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "Q2_stored_top_domain",
+    f"""WITH hits AS (SELECT node_id, domain, term, sum(tf) AS tf FROM postings WHERE term IN ('the', 'of', 'than') GROUP BY ALL),
+      scored AS (SELECT h.node_id, sum({BM25}) AS score, count(*) FILTER (term IN ('the', 'of')) AS n FROM hits h JOIN term_df USING (term)
+        JOIN lengths l ON l.node_id = h.node_id WHERE h.domain = 'en' GROUP BY h.node_id)
+    SELECT node_id, round(score, 6) AS score FROM scored WHERE n = 2 ORDER BY scored.score DESC, node_id LIMIT 10""",
+    MEMO_INDEX,
+)
+def q2_stored_domain(spark, d):
+    """Required and optional words within a domain."""
+    out = stored.search(memo_stored(spark, d), all_terms=["the", "of"], any_terms=["than"], domain="en", limit=10)
+    return out.select("node_id", F.round("score", 6).alias("score"))
+
+
+_PHRASE_IN = " OR ".join(
+    f"EXISTS (SELECT 1 FROM (SELECT {_toks('m.' + c)} AS t) WHERE len(list_filter(t, lambda x, i: x = 'in' AND t[i + 1] = 'the' AND t[i + 2] = 'and')) > 0)"
+    for c in ("content", "content_summary", "path")
+)
+
+
+@query(
+    "Q2_stored_phrase",
+    f"""WITH hits AS (SELECT node_id, domain, term, sum(tf) AS tf FROM postings WHERE term IN ('in', 'the', 'and') GROUP BY ALL),
+      scored AS (SELECT h.node_id, sum({BM25}) AS score, count(*) AS n FROM hits h JOIN term_df USING (term)
+        JOIN lengths l ON l.node_id = h.node_id GROUP BY h.node_id)
+    SELECT node_id, round(score, 6) AS score FROM scored s JOIN memo m ON m.id = s.node_id WHERE n = 3 AND ({_PHRASE_IN})""",
+    MEMO_INDEX,
+)
+def q2_stored_phrase(spark, d):
+    """All nodes with three words in a row, by positions; their contents are not read."""
+    out = stored.search(memo_stored(spark, d), phrase="in the and", limit=None)
+    return out.select("node_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "Q2_stored_structured",
+    f"""WITH items AS (SELECT *, CASE WHEN term = 'the' THEN 'the' ELSE 'tion*' END AS item FROM postings
+        WHERE field = 'content' AND (term = 'the' OR term LIKE 'tion%')),
+      hits AS (SELECT node_id, domain, item, sum(tf) AS tf FROM items GROUP BY ALL),
+      dfs AS (SELECT item, count(*) AS df FROM hits GROUP BY item),
+      scored AS (SELECT h.node_id, sum({BM25}) AS score, count(*) AS n FROM hits h JOIN dfs USING (item)
+        JOIN lengths l ON l.node_id = h.node_id WHERE h.domain = 'en' GROUP BY h.node_id)
+    SELECT node_id, round(score, 6) AS score FROM scored s WHERE n = 2 AND NOT EXISTS (SELECT 1 FROM postings p
+      WHERE p.node_id = s.node_id AND p.field = 'content' AND p.term IN ('of', 'and'))
+    ORDER BY s.score DESC, node_id LIMIT 10""",
+    MEMO_INDEX,
+)
+def q2_stored_structured(spark, d):
+    """A required word, a prefix and banned words in one field of one domain."""
+    out = stored.search(
+        memo_stored(spark, d), all_terms=["the"], prefix="tion", none_terms=["of", "and"], fields=["content"], domain="en", limit=10)
+    return out.select("node_id", F.round("score", 6).alias("score"))
+
+
 TAGS_OF = "(SELECT string_agg(tag, '|' ORDER BY tag) FROM memo_tags t WHERE t.node_id = m.id)"
 
 

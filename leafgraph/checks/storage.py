@@ -11,6 +11,7 @@ from leafgraph.plans import ingest
 from leafgraph.schemas import TAG_STRUCT
 from leafgraph.sources import adapters as A
 from leafgraph.sources import files, store
+from leafgraph.operators import stored as stored_index
 from leafgraph.streaming import index as stream
 
 NOW = 1_705_276_800
@@ -316,15 +317,8 @@ CTES["live"] = """live AS (SELECT * FROM memo WHERE k % 11 > 0)"""
 CTES["live_index"] = index_cte("live", "memo_tags")
 
 
-@query(
-    "I1_stream_index",
-    f"""WITH hits AS (SELECT node_id, term, sum(tf) AS tf FROM postings WHERE term IN ('ther', 'than') GROUP BY ALL)
-    SELECT h.node_id, round(sum({BM25}), 6) AS score FROM hits h JOIN term_df USING (term)
-      JOIN lengths l ON l.node_id = h.node_id GROUP BY h.node_id""",
-    ("memo", "live", "live_index"),
-)
-def i1(spark, d):
-    """Inserts, then updates of every node and deletion of some, read one file per batch."""
+def streamed(spark, d):
+    """The folder of an index fed by a stream: inserts, then updates of every node and deletion of some."""
     base = memo(spark, d).join(
         memo_tags(spark, d).groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list("tag")).alias("tags")), "id"
     )
@@ -337,9 +331,29 @@ def i1(spark, d):
     source = scratch_folder(spark, "changes")
     for changes in (first, second):
         changes.select(*columns, "deleted", "seq").write.mode("append").parquet(source)
+    # Four batches, which the last of them merges.
+    files = max(1, -(-len(spark.read.parquet(source).inputFiles()) // 4))
     index = scratch_folder(spark, "index")
-    incoming = spark.readStream.schema(stream.CHANGES).option("maxFilesPerTrigger", 1).parquet(source)
+    incoming = spark.readStream.schema(stream.CHANGES).option("maxFilesPerTrigger", files).parquet(source)
     stream.stream_index(incoming, index, scratch_folder(spark, "offsets"), "none").awaitTermination()
-    live = stream.read_live(spark, index, "none")
-    found = search.search(live, any_terms=["ther", "than"], limit=None)
+    return index
+
+
+_LIVE_SCORES = f"""WITH hits AS (SELECT node_id, term, sum(tf) AS tf FROM postings WHERE term IN ('ther', 'than') GROUP BY ALL)
+    SELECT h.node_id, round(sum({BM25}), 6) AS score FROM hits h JOIN term_df USING (term)
+      JOIN lengths l ON l.node_id = h.node_id GROUP BY h.node_id"""
+
+
+@query("I1_stream_index", _LIVE_SCORES, ("memo", "live", "live_index"))
+def i1(spark, d):
+    """All hits of two words, after the stream has been read and its segments have been merged."""
+    live = stored_index.open_index(spark, streamed(spark, d), "none")
+    found = stored_index.search(live, any_terms=["ther", "than"], limit=None)
     return found.select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("I1_term_df", "SELECT term, df FROM term_df", ("memo", "live", "live_index"))
+def i1b(spark, d):
+    """Document frequencies, which segments keep as sums of changes."""
+    rows = stored_index.open_index(spark, streamed(spark, d), "none").table("dictionary")
+    return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
