@@ -39,7 +39,7 @@ from leafgraph.llm import text_arrays as A
 from leafgraph.llm.repeats import packed
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3e-6 at 0.8, 7e-9 at 0.85.
-BANDS, ROWS = 32, 5  # BANDS is a power of two
+BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 #: The probability at which a pair is given up though its similarity may reach the threshold.
@@ -49,6 +49,8 @@ BLOCK = 512
 STAR = 512
 #: Bytes of full sets that a task keeps at a time.
 KEPT_BYTES = 32 << 20
+#: Short rows of a partition of an intermediate table.
+PARTITION_ROWS = 500_000
 #: Keys with more than this share of all rows, at most as many, are met in every task instead of by key.
 HEAVY = 64
 
@@ -82,11 +84,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """HASHES least values a set; no set may be empty."""
+    """One byte of each of HASHES least values a set; no set may be empty."""
     a, b = _hashes()
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), HASHES), np.uint8)
     for j in range(HASHES):
-        out[:, j] = np.minimum.reduceat(((names * a[j] + b[j]) >> np.uint64(32)).astype(np.uint32), starts)
+        least = np.minimum.reduceat(((names * a[j] + b[j]) >> np.uint64(32)).astype(np.uint32), starts)
+        out[:, j] = A.finish(least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(255)
     return out
 
 
@@ -117,20 +120,19 @@ def _sketch_batches(words: int):
 
 
 def _band_keys(sign: np.ndarray) -> np.ndarray:
-    """The key of each band's bucket, a row for each signature; its last digits are the band."""
+    """The key of each band's bucket, a row for each signature: the bytes of the band and its number."""
     sign = sign.reshape(-1, BANDS, ROWS)
-    key = np.zeros((len(sign), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :]
+    key = np.zeros((len(sign), BANDS), np.int64)
     for r in range(ROWS):
-        key = A.finish(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
-    band = np.arange(BANDS, dtype=np.uint64)[None, :]
-    return (key & ~np.uint64(BANDS - 1) | band).view(np.int64)
+        key = key << 8 | sign[:, :, r]
+    return key * BANDS + np.arange(BANDS)[None, :]
 
 
 def _band_batches(batches):
     for batch in batches:
         n = batch.num_rows
         if n:
-            key = _band_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32))
+            key = _band_keys(_signatures(batch.column("signature")))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column("rep").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "rep"])
 
 
@@ -138,8 +140,11 @@ def _band_batches(batches):
 def least_agreements(threshold: float, miss: float) -> tuple[int, ...]:
     """For each batch's end: agreements below which the posterior of reaching the threshold is under ``miss``.
 
-    The posterior of a similarity s after m agreements of n is Beta(m + 1, n - m + 1).
+    The posterior of an agreement's probability s after m agreements of n is
+    Beta(m + 1, n - m + 1). Bytes of different values agree once in 256 times, so s is the
+    similarity and a 256th of what it lacks of 1.
     """
+    threshold += (1 - threshold) / 256
     s = (np.arange(200_000) + 0.5) / 200_000
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
@@ -163,7 +168,7 @@ def alive(own: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> np.nda
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
 def set_of(packed_text: bytes, words: int) -> np.ndarray:
@@ -215,7 +220,7 @@ def _meet_batches(words: int, percent: int, threshold: float):
         sign = _signatures(table["signature"])
         key = table["key"].to_numpy()[0]
         keys = _band_keys(sign)
-        band = int(key) & (BANDS - 1)
+        band = int(key) % BANDS
         within = table["t"].to_numpy()[0] < 0 and table["a"].to_numpy()[0] == -1 - table["t"].to_numpy()[0]
         ask, meet = np.flatnonzero(left), np.flatnonzero(left if within else ~left)
         texts, sets, held, out = table["packed"], {}, 0, []
@@ -266,20 +271,28 @@ def _group_edges(table: pa.Table) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), len(k)]
 
 
-def matched(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key; frequent keys of ``left`` are met in every task.
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Written out, in as few partitions as ``rows`` short rows need."""
+    return cut(df.coalesce(1 + rows // PARTITION_ROWS))
 
-    ``counts`` (keys, n) are the rows of ``left`` by key, if known.
-    """
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    heavy = cut(counts.where(HEAVY * F.col("n") > total).select(*keys))  # fewer than HEAVY rows
-    if heavy.isEmpty():
+
+def frequent(counts: DataFrame, total: int, *keys: str) -> list:
+    """Keys of ``counts`` (keys, n) with more than their share of all rows; fewer than HEAVY."""
+    return counts.where(HEAVY * F.col("n") > total).select(*keys).collect()
+
+
+def matched(left: DataFrame, right: DataFrame, *keys: str, heavy: list, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; rows of the ``heavy`` keys are met in every task."""
+    if not heavy:
         return left.join(right, list(keys), how)
-    few = F.broadcast(heavy)
-    rest = left.join(few, list(keys), "left_anti").join(right, list(keys), how)
-    return left.join(few, list(keys), "left_semi").join(F.broadcast(right.join(few, list(keys), "left_semi")), list(keys), how).unionByName(rest)
+    is_heavy = F.lit(False)
+    for row in heavy:
+        one = F.lit(True)
+        for k in keys:
+            one = one & (F.col(k) == F.lit(row[k]))
+        is_heavy = is_heavy | one
+    rest = left.where(~is_heavy).join(right.where(~is_heavy), list(keys), how)
+    return left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), list(keys), how).unionByName(rest)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,14 +303,18 @@ def components(links: DataFrame) -> DataFrame:
     very many links, and labels of very many nodes, are met in every task.
     """
     edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("least")))
-    degrees = cut(edges.groupBy("b").agg(F.count("*").alias("n")))
+    total = edges.count()
+    edges = small(edges, total)
+    labels = small(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("least")), total)
+    nodes = labels.count()
+    hubs = frequent(edges.groupBy("b").agg(F.count("*").alias("n")), total, "b")
     while True:
-        far = matched(edges, labels.select(F.col("node").alias("b"), "least"), "b", counts=degrees)
+        far = matched(edges, labels.select(F.col("node").alias("b"), "least"), "b", heavy=hubs)
         far = far.groupBy(F.col("a").alias("node")).agg(F.min("least").alias("near"))
-        near = cut(labels.join(far, "node").select("node", F.least("least", "near").alias("least"), F.col("least").alias("old")))
+        near = small(labels.join(far, "node").select("node", F.least("least", "near").alias("least"), F.col("least").alias("old")), total)
         hop = near.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        new = cut(matched(near, hop, "least", how="left").select("node", F.coalesce("next", "least").alias("least"), "old"))
+        large = frequent(near.groupBy("least").agg(F.count("*").alias("n")), nodes, "least")
+        new = small(matched(near, hop, "least", heavy=large, how="left").select("node", F.coalesce("next", "least").alias("least"), "old"), total)
         labels = new.select("node", "least")
         if new.where("least <> old").isEmpty():
             return labels
@@ -305,9 +322,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def _star_links(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, least: tuple[int, ...]) -> DataFrame:
     """The pairs (hub a, member b) that reach the threshold."""
-    sizes = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
-    salted = matched(pairs, sizes.withColumn("salts", F.ceil(F.col("n") / STAR)).drop("n"), "a", counts=sizes)
-    salted = cut(salted.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")))
+    total = pairs.count()
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salted = matched(pairs, sizes.withColumn("salts", F.ceil(F.col("n") / STAR)).drop("n"), "a", heavy=frequent(sizes, total, "a"))
+    salted = small(salted.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), total)
     body = lambda key: bodies.withColumnRenamed("rep", key)
     members = salted.join(body("b"), "b").select("a", "salt", "b", "signature", "packed")
     hubs = salted.select("a", "salt").distinct().join(body("a"), "a")
@@ -316,13 +334,14 @@ def _star_links(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, l
     return rows.mapInArrow(_star_batches(words, percent, least), "a long, b long")
 
 
-def _straggler_links(members: DataFrame, first: DataFrame, counts: DataFrame, of: DataFrame, bodies: DataFrame, words: int, percent: int, threshold: float) -> DataFrame:
+def _straggler_links(members: DataFrame, first: DataFrame, heavy: list, of: DataFrame, bodies: DataFrame, words: int, percent: int, threshold: float) -> DataFrame:
     """Links of members that their bucket's hub does not reach with the others of the bucket."""
     label = lambda n, c: of.select(F.col("node").alias(n), F.col("least").alias(c))
-    main = cut(first.join(label("a", "main"), "a", "left").select("key", "a", F.coalesce("main", "a").alias("main")))
-    now = matched(members.select("key", "rep"), main, "key", counts=counts).where("rep <> a").drop("a")
+    total = members.count()
+    main = small(first.join(label("a", "main"), "a", "left").select("key", "a", F.coalesce("main", "a").alias("main")), total)
+    now = matched(members.select("key", "rep"), main, "key", heavy=heavy).where("rep <> a").drop("a")
     now = now.join(label("rep", "least"), "rep", "left").withColumn("least", F.coalesce("least", "rep"))
-    now = cut(now.select("key", "rep", "least", (F.col("least") != F.col("main")).alias("asks")))
+    now = small(now.select("key", "rep", "least", (F.col("least") != F.col("main")).alias("asks")), total)
     name = F.xxhash64("rep")
     number = lambda asks: F.count(F.when(F.col("asks") == asks, 1))
     buckets = now.groupBy("key").agg(
@@ -332,9 +351,8 @@ def _straggler_links(members: DataFrame, first: DataFrame, counts: DataFrame, of
     band = F.pmod("key", F.lit(BANDS))
     buckets = buckets.groupBy("x", "y", "askers", "others").agg(F.min_by("key", band).alias("key"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
-    buckets = cut(buckets.select("key", blocks("askers"), blocks("others"), (F.col("askers") + F.col("others")).alias("n")))
-    inside = now.join(buckets.select("key"), "key", "left_semi")
-    now = matched(inside, buckets.drop("n"), "key", counts=buckets.select("key", "n"))
+    buckets = small(buckets.select("key", blocks("askers"), blocks("others")), total)
+    now = matched(now, buckets, "key", heavy=heavy)
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("others"))).cast("int")
     now = now.withColumn("own", own)
     each = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -364,33 +382,36 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _text_hash(docs).alias("t"))
     sketch = cut(rows.mapInArrow(_sketch_batches(words), SKETCH))
     full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("own"), F.first("signature").alias("signature"))
+    classes = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("own"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
     # Numbered as it is written; what is read back has the same numbers every time.
-    reps = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "own.doc_id", "own.t", "signature"))
+    reps = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "own.doc_id", "own.t", "signature", "rows"))
+    total = BANDS * reps.count()
     members = reps.select("rep", "signature").mapInArrow(_band_batches, "key long, rep long")
-    counts = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(matched(members, counts, "key", counts=counts))
-    weights = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
+    counts = small(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), total)
+    heavy = frequent(counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"], "key")
+    members = small(matched(members, counts, "key", heavy=heavy), total)
+    weights = small(members.groupBy("rep").agg(F.sum("n").alias("weight")), total)
     # Texts of the candidates only; their sets are made where a pair is confirmed.
     asked = reps.join(weights.select("rep"), "rep", "left_semi").select("rep", "doc_id", "t")
     texts = rows.join(asked, ["doc_id", "t"]).groupBy("rep").agg(F.first("text").alias("text"))
     bodies = cut(packed(texts).join(reps.select("rep", "signature"), "rep"))
     threshold = percent / 100
     least = least_agreements(threshold, MISS)
-    heaviest = members.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))
-    first = cut(heaviest)
-    pairs = matched(members.select("key", "rep"), first, "key", counts=counts).where("rep <> a")
-    pairs = cut(pairs.select(F.col("a"), F.col("rep").alias("b")).distinct())
+    first = small(members.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a")), total)
+    pairs = matched(members.select("key", "rep"), first, "key", heavy=heavy).where("rep <> a")
+    pairs = small(pairs.select(F.col("a"), F.col("rep").alias("b")).distinct(), total)
     links = cut(_star_links(pairs, bodies, words, percent, least))
     of = components(links)
-    more = cut(_straggler_links(members, first, counts, of, bodies, words, percent, threshold))
+    more = cut(_straggler_links(members, first, heavy, of, bodies, words, percent, threshold))
     if not more.isEmpty():
         of = components(links.unionByName(more))
     # A component is named by the least doc_id of its classes.
     least_id = of.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("least").agg(F.min("doc_id").alias("component"))
-    of = matched(of, least_id, "least").select(F.col("node").alias("rep"), "component")
-    named = cut(reps.join(of, "rep", "left").select("s1", "s2", F.coalesce("component", "doc_id").alias("component")))
-    found = matched(sketch.select("doc_id", "t", "n_shingles", "s1", "s2"), named, "s1", "s2", how="left")
+    of = matched(of, least_id, "least", heavy=frequent(of.groupBy("least").agg(F.count("*").alias("n")), of.count(), "least"))
+    of = of.select(F.col("node").alias("rep"), "component")
+    named = small(reps.join(of, "rep", "left").select("s1", "s2", "rows", F.coalesce("component", "doc_id").alias("component")), total)
+    copied = frequent(named.withColumnRenamed("rows", "n"), sketch.count(), "s1", "s2")
+    found = matched(sketch.select("doc_id", "t", "n_shingles", "s1", "s2"), named.drop("rows"), "s1", "s2", heavy=copied, how="left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     found = found.select("doc_id", "t", "n_shingles", own.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
