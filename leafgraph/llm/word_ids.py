@@ -10,7 +10,9 @@ import pyarrow as pa
 from leafgraph.llm import text_arrays as A
 
 #: Words remembered by one worker; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 2_000_000
+#: Bytes of remembered words likewise.
+REMEMBERED_BYTES = 128 << 20
 
 
 def _same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ class WordIds:
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Of each word: where its ids start, and their number; for ``gather``."""
-        if sum(len(x[0]) for x in self.levels) > REMEMBERED:
+        if sum(len(x[0]) for x in self.levels) > REMEMBERED or self.text.size > REMEMBERED_BYTES:
             self.clear()
         coded = A.pieces(data, starts, ends).dictionary_encode()
         words, inverse = coded.dictionary, coded.indices.to_numpy()
@@ -100,7 +102,7 @@ class WordIds:
             free = ~taken[new[first]]
             key, first = key[free], first[free]
             if len(key):
-                self._add((key, at[first], n[first].astype(np.int64), begin[first], size[new][first]))
+                self._add((key, *(x[first].astype(np.int32) for x in (at, n, begin, size[new]))))
         return start[inverse], length[inverse]
 
     def gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
