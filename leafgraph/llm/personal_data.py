@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.llm.columns import carried
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns asked for, written so that a failed attempt never backtracks: a run of
@@ -260,8 +262,12 @@ def listed(spans: str) -> Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """Texts with [EMAIL], [IP], [CARD] or [PHONE] in place of each span; ``n_chars`` follows the text."""
-    rows = personal_spans(docs)
+    """Texts with [EMAIL], [IP], [CARD] or [PHONE] in place of each span.
+
+    ``n_chars`` follows the text, other columns may have any names and stay as they are.
+    """
+    inner, restored = carried(docs, "doc_id", "text", "n_chars")
+    rows = personal_spans(inner)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     # Spans that begin inside an earlier one are part of it.
@@ -274,4 +280,4 @@ def masked(docs: DataFrame) -> DataFrame:
 
     built = F.aggregate("spans", first, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.greatest(F.length(text) - s["at"], F.lit(0)))))
     new = rows.withColumn("text", F.when(F.size("spans") > 0, built).otherwise(text))
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return restored(new, n_chars=F.length("text").cast("long"))

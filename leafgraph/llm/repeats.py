@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.functions.durable import scratch_folder
 from leafgraph.llm import text_arrays as A
+from leafgraph.llm.columns import carried
 
 LENGTH = 200
 KERNEL = 64
@@ -363,8 +364,12 @@ def _text_batches(batches):
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """Texts without repeated passages; a character cut in two goes as a whole. ``n_chars`` follows the text."""
-    keep = tuple(c for c in docs.columns if c != "text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    found = cut_out(docs, keep).mapInArrow(_text_batches, ", ".join([*fields, "text string"]))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without repeated passages; a character cut in two goes as a whole.
+
+    ``n_chars`` follows the text, other columns may have any names and stay as they are.
+    """
+    rows, restored = carried(docs, "doc_id", "text", "n_chars")
+    keep = tuple(c for c in rows.columns if c not in ("text", "n_chars"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    found = cut_out(rows, keep).mapInArrow(_text_batches, ", ".join([*fields, "text string"]))
+    return restored(found, n_chars=F.length("text").cast("long"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.llm import text_arrays as A
+from leafgraph.llm.columns import carried
 
 #: Bound of the labelled documents the model is fitted on, and of the words it weighs.
 SAMPLE = 20_000
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not toxic, as they are."""
-    scored = score(docs, fit(docs, labels), tuple(docs.columns))
-    return scored.where("NOT toxic").drop("severity", "grade", "toxic")
+    """Documents that are not toxic, as they are; their other columns may have any names."""
+    rows, restored = carried(docs, "doc_id", "text")
+    scored = score(rows, fit(rows, labels), tuple(rows.columns))
+    return restored(scored.where("NOT toxic"))

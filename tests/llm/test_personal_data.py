@@ -98,5 +98,11 @@ def test_masked(spark):
     assert got == sorted([(1, "at [EMAIL], ip [IP] é", 21), (2, "", 0), (2, "clean", 5), (0, "[PHONE]", 7)])
 
 
+def test_clashing_names(spark):
+    names = ["base", "loose", "spans", "key", "x"]
+    frame = spark.createDataFrame([(1, "mail a@b.c", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert [tuple(r) for r in P.masked(frame).collect()] == [(1, "mail [EMAIL]", *names)]
+
+
 def test_empty(spark):
     assert P.personal_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -70,6 +70,12 @@ def test_text_keeps_whole_characters(spark):
     assert got == {1: ("a", 1), 2: ("", 0)} or all(len(t) == n and "é" not in t for t, n in got.values())
 
 
+def test_clashing_names(spark):
+    names = ["kept", "d1", "d2", "spans", "packed", "n_bytes", "removed"]
+    frame = spark.createDataFrame([(i, "ab" * 150, *names) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert sorted(tuple(r) for r in repeats.without_repeats(frame).collect()) == [(i, "", *names) for i in (1, 2)]
+
+
 def test_edges_of_tasks():
     f, t = False, True
     whole, on = repeats.decide(*(np.array(x) for x in ([f, t, t, t, f], [f, f, t, t, f], [t, t, t, f, f], [f, t, t, f, f])))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from leafgraph.llm import queries, toxicity
 
@@ -64,5 +65,7 @@ def test_odd_rows(spark):
     assert toxicity.fit(frame, labels) is None  # of one kind only
     got = toxicity.score(frame, None).collect()
     assert len(got) == 6 and not any(r.toxic or r.severity for r in got)
-    assert toxicity.without_toxic(frame.drop("grade"), labels.limit(0)).count() == 6
+    clashing = frame.withColumns({n: F.lit("x") for n in ("grade", "toxic", "severity")})
+    kept = toxicity.without_toxic(clashing, labels.limit(0)).collect()
+    assert len(kept) == 6 and all((r.grade, r.toxic, r.severity) == ("x", "x", "x") for r in kept)
     assert toxicity.score(frame.limit(0), None).count() == 0
