@@ -3,18 +3,22 @@
 A window over ``partitionBy(doc)`` puts a whole document into one task.  Here the
 order is cut into blocks that are a pure function of the row (page number divided
 by a block size, say).  A window runs inside each block, one summary row per block
-is carried along the key, and the two are joined.  A task therefore never holds
-more than one block of rows, or one summary row per block of a key, and the result
-equals that of the single window.
+is carried along the key, and the two are joined.  The carrying has levels of its
+own: summaries of ``GROUP`` blocks are summed up again, so that a task holds one
+block of rows, or the summaries of one group, or one row per group of a key.  The
+result equals that of the single window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+GROUP = 4096
 SALTS = 16
 
 
@@ -42,12 +46,103 @@ def attach(df: DataFrame, per_key: DataFrame, key: str, spread_by: str, how: str
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def _before(keys):
-    return W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+def _earlier(keys, order):
+    return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
+
+def _later(keys, order):
+    return W.partitionBy(*keys).orderBy(order).rowsBetween(1, W.unboundedFollowing)
+
+
+def _carry(blocks: DataFrame, keys: list[str], names: list[str], kind: str) -> DataFrame:
+    """Replaces the summary of each block by that of the blocks before it (``kind`` sum or
+    last) or after it (first): once inside groups of blocks, once over the groups."""
+    side = _later if kind == "first" else _earlier
+    nearest = {"last": F.last, "first": F.first}
+
+    def over(name):
+        return F.sum(name) if kind == "sum" else nearest[kind](name, ignorenulls=True)
+
+    def whole(name):
+        if kind == "sum":
+            return F.sum(name)
+        pick = F.max_by if kind == "last" else F.min_by
+        return pick(F.col(name), F.when(F.col(name).isNotNull(), F.col(BLOCK)))
+
+    blocks = blocks.withColumn("_group", F.floor(F.col(BLOCK) / F.lit(GROUP)).cast("bigint"))
+    groups = blocks.groupBy(*keys, "_group").agg(*[whole(n).alias(n) for n in names])
+    groups = groups.select(*keys, "_group", *[over(n).over(side(keys, "_group")).alias(f"{n}_far") for n in names])
+    near = blocks.select(
+        *keys, BLOCK, "_group", *[over(n).over(side([*keys, "_group"], BLOCK)).alias(n) for n in names]
+    )
+
+    def both(n):
+        if kind == "sum":
+            return F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"{n}_far"), F.lit(0))
+        return F.coalesce(F.col(n), F.col(f"{n}_far"))
 
+    return near.join(groups, [*keys, "_group"]).select(*keys, BLOCK, *[both(n).alias(n) for n in names])
 
-def _after(keys):
-    return W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(1, W.unboundedFollowing)
+
+def fold_before(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: Column,
+    merge: Callable[[Column, Column], Column],
+    state: str,
+    name: str,
+    sizes: tuple[int, ...] = (1 << 10, 1 << 22, 1 << 42),
+) -> DataFrame:
+    """For each row ``merge`` over the values of all earlier rows of its key.
+
+    ``value`` and the result are arrays of the type ``state``; ``merge`` is associative and
+    the empty array its neutral element.  Rows of one block are folded in order, so are the
+    totals of blocks in the next larger one and so on; ``sizes`` are the widths of blocks
+    in numbers of ``order``, each a multiple of the one before.  What came before a block is
+    then handed down.  A task holds the rows of one block of the first width, or the totals
+    of the blocks inside one larger block.
+    """
+    outs = f"array<{state}>"
+    zero = F.struct(F.array().cast(state).alias("total"), F.array().cast(outs).alias("before"))
+
+    def step(acc, row):
+        total = merge(acc["total"], row["value"]).cast(state)
+        return F.struct(total.alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before"))
+
+    def fold(rows, *by):
+        listed = rows.groupBy(*keys, *by).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+        return listed.withColumn("_fold", F.aggregate("_items", zero, step))
+
+    def handed(totals, k):
+        """What came before each block of width ``sizes[k - 1]``."""
+        items = totals.withColumn("_item", F.struct(F.col(BLOCK).alias("at"), F.col("_total").alias("value")))
+        if k == len(sizes):
+            folded = fold(items)
+            outer = F.array().cast(state)
+        else:
+            ratio = sizes[k] // sizes[k - 1]
+            items = items.withColumn(BLOCK, F.floor(F.col(BLOCK) / F.lit(ratio)).cast("bigint"))
+            folded = fold(items, BLOCK)
+            above = handed(folded.select(*keys, BLOCK, F.col("_fold.total").alias("_total")), k + 1)
+            folded = folded.join(above, [*keys, BLOCK])
+            outer = F.col("_came")
+        pairs = F.arrays_zip(F.col("_items"), F.col("_fold.before").alias("before"))
+        return folded.select(*keys, outer.alias("_outer"), F.explode(pairs).alias("_pair")).select(
+            *keys, F.col("_pair._items.at").alias(BLOCK), merge(F.col("_outer"), F.col("_pair.before")).alias("_came")
+        )
+
+    columns = df.columns
+    rows = with_block(df, order, sizes[0]).withColumn(
+        "_item",
+        F.struct(F.col(order).alias("at"), value.cast(state).alias("value"), F.struct(*columns).alias("row")),
+    )
+    folded = fold(rows.select(*keys, BLOCK, "_item"), BLOCK)
+    came = handed(folded.select(*keys, BLOCK, F.col("_fold.total").alias("_total")), 1)
+    pairs = F.arrays_zip(F.col("_items"), F.col("_fold.before").alias("before"))
+    return folded.join(came, [*keys, BLOCK]).select("_came", F.explode(pairs).alias("_pair")).select(
+        "_pair._items.row.*", merge(F.col("_came"), F.col("_pair.before")).alias(name)
+    )
 
 
 def running_sum(
@@ -58,12 +153,7 @@ def running_sum(
     ``order[0]`` is numeric; blocks are cut along it.
     """
     df = with_block(df, order[0], size)
-    totals = (
-        df.groupBy(*keys, BLOCK)
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(_before(keys)), F.lit(0)))
-        .drop("_total")
-    )
+    totals = _carry(df.groupBy(*keys, BLOCK).agg(F.sum(value).alias("_offset")), keys, ["_offset"], "sum")
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         by_block(df, keys).withColumn("_local", F.sum(value).over(local))
@@ -87,15 +177,11 @@ def last_before(
     position = F.struct(*order)
     carried = df.groupBy(*keys, BLOCK).agg(
         *[
-            F.max_by(value, F.when(value.isNotNull(), position)).alias(f"_end_{name}")
+            F.max_by(value, F.when(value.isNotNull(), position)).alias(f"_in_{name}")
             for name, value in values.items()
         ]
     )
-    carried = carried.select(
-        *keys,
-        BLOCK,
-        *[F.last(f"_end_{n}", ignorenulls=True).over(_before(keys)).alias(f"_in_{n}") for n in values],
-    )
+    carried = _carry(carried, keys, [f"_in_{n}" for n in values], "last")
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = by_block(df, keys).withColumns(
         {f"_at_{n}": F.last(v, ignorenulls=True).over(local) for n, v in values.items()}
@@ -112,15 +198,11 @@ def next_after(
     position = F.struct(*order)
     carried = df.groupBy(*keys, BLOCK).agg(
         *[
-            F.min_by(value, F.when(value.isNotNull(), position)).alias(f"_start_{name}")
+            F.min_by(value, F.when(value.isNotNull(), position)).alias(f"_in_{name}")
             for name, value in values.items()
         ]
     )
-    carried = carried.select(
-        *keys,
-        BLOCK,
-        *[F.first(f"_start_{n}", ignorenulls=True).over(_after(keys)).alias(f"_in_{n}") for n in values],
-    )
+    carried = _carry(carried, keys, [f"_in_{n}" for n in values], "first")
     local = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
     out = by_block(df, keys).withColumns(
         {f"_at_{n}": F.first(v, ignorenulls=True).over(local) for n, v in values.items()}

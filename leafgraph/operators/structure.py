@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.ids import short_hash
-from leafgraph.operators.ordered import attach, last_before, next_after, running_sum
+from leafgraph.operators.ordered import attach, fold_before, next_after, running_sum
 
 # Lines of one page are numbered below this; the page is above it.
 SEQ_PAGE = 1 << 32
@@ -160,39 +160,46 @@ def outline_toc(outline: DataFrame) -> DataFrame:
 # --- hierarchy ----------------------------------------------------------------
 
 
-def toc_tree(toc: DataFrame, block: int = 4096, max_level: int | None = None) -> DataFrame:
-    """Adds ``parent_seq`` and ``path``.
+OPEN = "array<struct<seq:bigint,level:bigint,title:string>>"
 
-    The parent is the nearest earlier entry of a smaller level.  One ordered scan
-    keeps the last entry of every level; of those, an entry is an open ancestor if
-    none of a smaller level came after it.  ``max_level`` is read from the data
-    unless the caller knows it: one aggregate, one number.
+
+def _merge_open(before: Column, after: Column) -> Column:
+    """Open entries of two stretches of a table of contents, one after the other.
+
+    The first open entry of a stretch has its smallest level, so it closes all entries
+    of that level or a larger one before it.
+    """
+    kept = F.filter(before, lambda e: e["level"] < F.element_at(after, 1)["level"])
+    return F.when(F.size(after) == 0, before).otherwise(F.concat(kept, after))
+
+
+def _with_open(toc: DataFrame, block: int) -> DataFrame:
+    """Adds ``_open``: the ancestors of each entry from the root down.
+
+    A stretch of entries is known by its open ones (those without a later entry of the
+    same or a smaller level), which merge associatively: the number of levels costs no
+    columns, and nothing about the data is asked beforehand.
     """
-    if max_level is None:
-        max_level = toc.agg(F.max("level")).first()[0] or 1
     entry = F.struct(F.col("seq").alias("seq"), F.col("level").alias("level"), F.col("title").alias("title"))
-    names = {f"_l{k}": F.when(F.col("level") == k, entry) for k in range(1, max_level)}
-    if names:
-        toc = last_before(toc, ["doc_id"], ["seq"], block, names)
-        earlier = F.filter(
-            F.array(*[F.col(n) for n in names]), lambda e: e.isNotNull() & (e["level"] < F.col("level"))
-        )
-        toc = toc.withColumn("_earlier", earlier).withColumn(
-            "_open",
-            F.expr(
-                "filter(_earlier, e -> not exists(_earlier, o -> o.level < e.level and o.seq > e.seq))"
-            ),
-        )
-        toc = toc.withColumns(
-            {
-                "parent_seq": F.array_max(F.transform("_open", lambda e: e["seq"])),
-                "path": F.array_join(
-                    F.concat(F.transform("_open", lambda e: e["title"]), F.array("title")), "/"
-                ),
-            }
-        )
-        return toc.drop("_earlier", "_open", *names)
-    return toc.withColumns({"parent_seq": F.lit(None).cast("bigint"), "path": F.col("title")})
+    own = F.filter(F.array(entry), lambda e: e["level"].isNotNull())
+    sizes = (block, block << 12, block << 32)
+    out = fold_before(toc, ["doc_id"], "seq", own, _merge_open, OPEN, "_open", sizes)
+    return out.withColumn("_open", F.filter("_open", lambda e: e["level"] < F.col("level")))
+
+
+def toc_tree(toc: DataFrame, block: int = 1024) -> DataFrame:
+    """Adds ``parent_seq``, the nearest earlier entry of a smaller level, and ``path``.
+
+    An entry without a level is a root and no one's parent.  Blocks are ``block``
+    numbers of ``seq`` wide.
+    """
+    tree = _with_open(toc, block)
+    return tree.withColumns(
+        {
+            "parent_seq": F.try_element_at("_open", F.lit(-1))["seq"],
+            "path": F.array_join(F.concat(F.transform("_open", lambda e: e["title"]), F.array("title")), "/"),
+        }
+    ).drop("_open")
 
 
 def toc_parents(toc: DataFrame, **kw) -> DataFrame:
@@ -216,13 +223,11 @@ def toc_text(toc: DataFrame, per_part: int = 4096) -> DataFrame:
     )
 
 
-def with_depth(toc: DataFrame, **kw) -> DataFrame:
-    """Depth in the tree: number of open ancestors."""
-    marked = toc.withColumns({"_title": F.col("title"), "title": F.lit("x")})
-    tree = toc_tree(marked, **kw)
-    return tree.withColumns(
-        {"depth": F.size(F.split("path", "/")) - 1, "title": F.col("_title")}
-    ).drop("_title", "path")
+def with_depth(toc: DataFrame, block: int = 1024) -> DataFrame:
+    """Adds ``depth`` and ``parent_seq``: depth in the tree is the number of open ancestors."""
+    return _with_open(toc, block).withColumns(
+        {"depth": F.size("_open"), "parent_seq": F.try_element_at("_open", F.lit(-1))["seq"]}
+    ).drop("_open")
 
 
 def toc_page_map(toc: DataFrame) -> DataFrame:

@@ -69,6 +69,41 @@ def test_scans_do_not_put_a_key_into_one_window(skewed):
     assert "_block" in [x for x in plan.splitlines() if "Window" in x][0]
 
 
+def test_scans_carry_over_groups_of_blocks(skewed, monkeypatch):
+    df, _ = skewed
+    plain = {(r.k, r.pos): r.r for r in ordered.ranked(df, ["k"], ["pos"], 100_000, "r").collect()}
+    monkeypatch.setattr(ordered, "GROUP", 3)
+    for size in (1, 7):
+        got = ordered.ranked(df, ["k"], ["pos"], size, "r")
+        assert {(r.k, r.pos): r.r for r in got.collect()} == plain
+        first = ordered.next_after(df, ["k"], ["pos"], size, {"x": F.col("pos")})
+        assert all(r.x in (r.pos + 1, None) for r in first.collect())
+        last = ordered.last_before(df, ["k"], ["pos"], size, {"x": F.col("pos")})
+        assert all(r.x == (r.pos - 1 if r.pos else None) for r in last.collect())
+    plan = ordered.ranked(df, ["k"], ["pos"], 7, "r")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window" in x]
+    assert any("_group" in x.split("], [")[1] for x in windows), windows
+
+
+def test_fold_over_blocks_of_blocks(spark):
+    rows = [(k, p, p % 7) for k, n in (("big", 300), ("small", 3)) for p in range(n)]
+    df = spark.createDataFrame([*rows, ("far", 0, 1), ("far", 1 << 33, 2), ("far", 1 << 50, 3)], "k STRING, p BIGINT, v INT")
+    # The last three different values, oldest first: associative, and order matters.
+    def merge(a, b):
+        kept = F.filter(a, lambda e: ~F.array_contains(b, e))
+        both = F.concat(kept, b)
+        return F.slice(both, F.greatest(F.size(both) - 2, F.lit(1)), 3)
+
+    for sizes in ((1, 2, 8), (4, 16), (1000,), (1 << 10, 1 << 22, 1 << 42)):
+        got = ordered.fold_before(df, ["k"], "p", F.array("v"), merge, "array<int>", "f", sizes)
+        seen = {(r.k, r.p): r.f for r in got.collect()}
+        assert len(seen) == 306
+        for (k, p), f in seen.items():
+            if k != "far":
+                assert f == [x % 7 for x in range(max(0, p - 3), p)]
+        assert seen["far", 1 << 33] == [1] and seen["far", 1 << 50] == [1, 2]
+
+
 # --- structure ------------------------------------------------------------------------
 
 
@@ -92,6 +127,26 @@ def test_toc_hierarchy_equals_a_stack(spark):
         assert {(r.doc_id, r.seq): (r.parent_seq, r.path) for r in out.collect()} == expected
 
 
+def test_contents_of_200_levels(spark):
+    # Down 200 levels, back up by ten at a time; sequence numbers as of lines on pages.
+    levels = [*range(1, 201), *range(190, 0, -10), None, 3]
+    data = [("d", (i // 5) * structure.SEQ_PAGE + i % 5, level, f"t{i}") for i, level in enumerate(levels)]
+    toc = spark.createDataFrame(data, "doc_id STRING, seq BIGINT, level INT, title STRING")
+    expected, stack = {}, []
+    for _, seq, level, _ in data:
+        if level is None:
+            expected[seq] = (None, 0)
+            continue
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        expected[seq] = (stack[-1][1] if stack else None, len(stack))
+        stack.append((level, seq))
+    for block in (2, 1024):
+        out = structure.with_depth(toc, block)
+        assert len(out.columns) == 6
+        assert {r.seq: (r.parent_seq, r.depth) for r in out.collect()} == expected
+
+
 def test_small_table_of_contents(spark):
     text = "Table of Contents\n1. Introduction ........... 1\n1.1 Background ..... 2\n2. Methodology ..... 6"
     pages = spark.createDataFrame([("a", 0, text), ("a", 1, "x"), ("b", 0, "no contents here")], PAGES)
