@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leafgraph.checks.base import CTES, NL, STOP_SQL, WS, lit, query, tokens_sql
 from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
+from leafgraph.functions.stem import porter_sql
 from leafgraph.operators import lexical
 from leafgraph.sources import adapters as A
 
@@ -62,7 +63,17 @@ def l3(spark, d):
     return lexical.stems(pages(spark, d), "light").withColumn("words", F.array_join("words", "|"))
 
 
-@query("L3_stems_porter")
+CTES["porter_stems"] = porter_sql("stem_of", "(SELECT token AS word FROM tokens)") + """,
+  porter_stems AS (
+    SELECT doc_id, page_no, stem, list_sort(list(DISTINCT token)) AS words, count(*) AS freq
+    FROM tokens JOIN stem_of ON word = token GROUP BY doc_id, page_no, stem)"""
+
+
+@query(
+    "L3_stems_porter",
+    "SELECT doc_id, page_no, stem, array_to_string(words, '|') AS words, freq FROM porter_stems",
+    (*LEX, "porter_stems"),
+)
 def l3b(spark, d):
     return lexical.stems(pages(spark, d)).withColumn("words", F.array_join("words", "|"))
 

@@ -7,6 +7,7 @@ from leafgraph.checks.graph import DOC, PAGE, documents
 from leafgraph.functions import patterns as P
 from leafgraph.functions import text as X
 from leafgraph.functions.durable import scratch_folder
+from leafgraph.functions.stem import porter_sql
 from leafgraph.operators import graph, search, stored
 from leafgraph.sources import adapters as A
 
@@ -111,7 +112,14 @@ def q1c(spark, d):
     return memo_index(spark, d).lengths.withColumn("length", F.col("length").cast("bigint"))
 
 
-@query("Q1_build_index_porter")
+CTES["porter_terms"] = porter_sql("stem_of", "(SELECT term AS word FROM postings)")
+
+
+@query(
+    "Q1_build_index_porter",
+    "SELECT stem AS term, count(DISTINCT node_id) AS df FROM postings JOIN stem_of ON word = term GROUP BY stem",
+    (*MEMO_INDEX, "porter_terms"),
+)
 def q1d(spark, d):
     return memo_index(spark, d, "porter").term_df
 

@@ -1,26 +1,20 @@
 """Porter's suffix-stripping algorithm (1980) for English words.
 
-Applied as an Arrow function over whole token arrays, with a memory of the words a
-task has already seen: nothing is shuffled to stem a corpus.
+The rules are a table, ``STEPS``, which is compiled to column expressions (``stem_array``,
+inside the JVM) and to SQL (``porter_sql``, for engines that check results).  ``porter`` is
+the plain form for a single word of a query.
 """
 
 from __future__ import annotations
 
-import sys
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafgraph.functions.text import light_stem
 
-# Executors need no copy of this package: the functions travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 VOWELS = "aeiou"
-MEMORY_WORDS = 500_000
 
 # Suffix and replacement where the stem before it has measure > 0.
 STEP_2 = [
@@ -130,48 +124,168 @@ def porter(word: str) -> str:
     return _tidy(_drop_long_suffix(word))
 
 
-def _remembered():
-    seen: dict[str, str] = {}
-
-    def stem(word: str) -> str:
-        out = seen.get(word)
-        if out is None:
-            if len(seen) >= MEMORY_WORDS:
-                seen.clear()
-            out = seen[word] = porter(word)
-        return out
-
-    return stem
-
-
-def _array_udf():
-    stem = _remembered()
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stems(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: [stem(t) for t in ts], na_action="ignore")
-
-    return stems
-
-
-def _word_udf():
-    stem = _remembered()
+# --- the same rules as a table ------------------------------------------------
+
+# While rules run, three characters that no word has stand for: a first y (a consonant),
+# a word too short to stem, an ending that step 1b took off.
+FIRST_Y, SHORT, TAKEN = "\x1e", "\x1f", "\x1d"
+
+# A run of consonants or vowels; y is a vowel after a consonant and a consonant elsewhere.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+MEASURE_1 = f"^({_C})?{_V}[^aeiou]"  # at least one vowel-consonant change
+MEASURE_2 = f"^({_C})?{_V}{_C}{_V}[^aeiou]"
+HAS_VOWEL = f"^({_C})?[aeiouy]"
+SHORT_STEM = f"^{_C}[aeiouy][^aeiouwxy]$"  # measure 1 and consonant, vowel, consonant at its end
+# The last of two equal letters is a consonant, and none of l, s, z.
+DOUBLE_END = "[^aeioulszy]$|[aeiou]y(yy)*$|[^aeiouy](yy)+$"
+
+
+class Rule(NamedTuple):
+    """A word with this ending whose part before the last ``stem`` letters fits ``test``
+    loses ``cut`` letters and gets ``add``.  If it does not fit, it stays as it is, or
+    goes to the next rule (``go_on``).  ``twice`` asks for two equal letters at the end
+    of that part."""
+
+    suffix: str
+    test: str | None = None
+    stem: int = 0
+    cut: int = 0
+    add: str = ""
+    go_on: bool = False
+    twice: bool = False
+
+
+def _by_length(rules: list[Rule]) -> list[Rule]:
+    return sorted(rules, key=lambda r: -len(r.suffix))
+
+
+STEPS: list[list[Rule]] = [
+    [Rule("sses", cut=2), Rule("ies", cut=2), Rule("ss"), Rule("s", cut=1)],
+    [
+        Rule("eed", MEASURE_1, 3, 1),
+        Rule("ed", HAS_VOWEL, 2, 2, TAKEN),
+        Rule("ing", HAS_VOWEL, 3, 3, TAKEN),
+    ],
+    [
+        *[Rule(end + TAKEN, cut=1, add="e") for end in ("at", "bl", "iz")],
+        Rule(TAKEN, DOUBLE_END, 1, 2, go_on=True, twice=True),
+        Rule(TAKEN, SHORT_STEM, 1, 1, "e", go_on=True),
+        Rule(TAKEN, cut=1),
+    ],
+    [Rule("y", HAS_VOWEL, 1, 1, "i")],
+    _by_length([Rule(s, MEASURE_1, len(s), len(s), add) for s, add in STEP_2]),
+    _by_length([Rule(s, MEASURE_1, len(s), len(s), add) for s, add in STEP_3]),
+    _by_length(
+        [Rule(s, MEASURE_2, len(s), len(s)) for s in STEP_4 if s != "ion"]
+        + [Rule("sion", MEASURE_2, 3, 3), Rule("tion", MEASURE_2, 3, 3), Rule("ion")]
+    ),
+    [Rule("e", SHORT_STEM, 1, go_on=True), Rule("e", MEASURE_1, 1, 1)],
+    [Rule("ll", MEASURE_2, 0, 1)],
+]
 
-    @F.pandas_udf(T.StringType())
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem, na_action="ignore")
 
-    return stems
+def _by_last_letter(rules: list[Rule]) -> dict[str, list[Rule]]:
+    """Rules of different last letters never meet, so one test of a letter skips them all."""
+    groups: dict[str, list[Rule]] = {}
+    for r in rules:
+        groups.setdefault(r.suffix[-1], []).append(r)
+    return groups
+
+
+def _rule_column(w: Column, rules: list[Rule]) -> Column:
+    size = F.length(w)
+
+    def fits(r):
+        test = F.lit(True)
+        if r.twice:
+            test = (size > r.stem + 1) & (
+                F.substring(w, size - r.stem, F.lit(1)) == F.substring(w, size - r.stem - 1, F.lit(1))
+            )
+        return test & F.left(w, size - r.stem).rlike(r.test) if r.test else test
+
+    def chain(group):
+        out = F
+        for r in group:
+            ends = F.endswith(w, F.lit(r.suffix))
+            changed = F.concat(F.left(w, size - r.cut), F.lit(r.add)) if r.cut else w
+            if r.go_on or not r.test:
+                out = out.when(ends & fits(r), changed)
+            else:
+                out = out.when(ends, F.when(fits(r), changed).otherwise(w))
+        return out.otherwise(w)
+
+    out = F
+    for letter, group in _by_last_letter(rules).items():
+        out = out.when(F.endswith(w, F.lit(letter)), chain(group))
+    return out.otherwise(w)
+
+
+def _porter_columns(words: Column) -> Column:
+    """Each step is a ``transform`` of its own, so that a word is an expression once."""
+
+    def opened(w):
+        return (
+            F.when(F.length(w) < 3, F.concat(w, F.lit(SHORT)))
+            .when(F.startswith(w, F.lit("y")), F.concat(F.lit(FIRST_Y), F.substring(w, 2, 1 << 30)))
+            .otherwise(w)
+        )
+
+    def closed(w):
+        return (
+            F.when(F.endswith(w, F.lit(SHORT)), F.left(w, F.length(w) - 1))
+            .when(F.startswith(w, F.lit(FIRST_Y)), F.concat(F.lit("y"), F.substring(w, 2, 1 << 30)))
+            .otherwise(w)
+        )
+
+    def step(rules):
+        return lambda w: _rule_column(w, rules)
+
+    words = F.transform(words, opened)
+    for rules in STEPS:
+        words = F.transform(words, step(rules))
+    return F.transform(words, closed)
+
+
+def _rule_sql(rules: list[Rule]) -> str:
+    cases = []
+    for r in rules:
+        ends = f"w LIKE '%{r.suffix}'"
+        fits = ""
+        if r.twice:
+            fits += f" AND length(w) > {r.stem + 1} AND substr(w, length(w) - {r.stem}, 1) = "
+            fits += f"substr(w, length(w) - {r.stem + 1}, 1)"
+        if r.test:
+            fits += f" AND regexp_matches(left(w, length(w) - {r.stem}), '{r.test}')"
+        changed = f"left(w, length(w) - {r.cut}) || '{r.add}'" if r.cut else "w"
+        cases.append(f"WHEN {ends}{fits} THEN {changed}")
+        if r.test and not r.go_on:
+            cases.append(f"WHEN {ends} THEN w")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def porter_sql(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (word, stem) for the distinct words of ``source`` (word)."""
+    ctes = [
+        f"{name}_0 AS (SELECT word, CASE WHEN length(word) < 3 THEN word || '{SHORT}' WHEN word LIKE 'y%' "
+        f"THEN '{FIRST_Y}' || substr(word, 2) ELSE word END AS w FROM (SELECT DISTINCT word FROM {source}))"
+    ]
+    for i, rules in enumerate(STEPS):
+        ctes.append(f"{name}_{i + 1} AS (SELECT word, {_rule_sql(rules)} AS w FROM {name}_{i})")
+    ctes.append(
+        f"{name} AS (SELECT word, CASE WHEN w LIKE '%{SHORT}' THEN left(w, length(w) - 1) "
+        f"WHEN w LIKE '{FIRST_Y}%' THEN 'y' || substr(w, 2) ELSE w END AS stem FROM {name}_{len(STEPS)})"
+    )
+    return ",\n  ".join(ctes)
 
 
 def stem_word(c: Column, stemmer: str) -> Column:
-    if stemmer == "porter":
-        return _word_udf()(c)
-    return light_stem(c) if stemmer == "light" else c
+    return F.get(stem_array(F.array(c), stemmer), F.lit(0)) if stemmer == "porter" else (
+        light_stem(c) if stemmer == "light" else c
+    )
 
 
 def stem_array(c: Column, stemmer: str) -> Column:
-    """``porter``, ``light`` (plural endings only, inside the JVM) or ``none``."""
+    """``porter``, ``light`` (plural endings only) or ``none``."""
     if stemmer == "porter":
-        return _array_udf()(c)
+        return _porter_columns(c)
     return F.transform(c, light_stem) if stemmer == "light" else c

@@ -4,11 +4,14 @@ import json
 import random
 
 import numpy as np
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from leafgraph.functions import text as X
 from leafgraph.functions.rank import sentence_scores
+from leafgraph.functions import stem
 from leafgraph.functions.stem import porter
 from leafgraph.operators import enrich, graph, lexical, ordered, search, shape, structure, traverse
 from leafgraph.plans import ingest
@@ -253,6 +256,27 @@ def test_html(spark):
 # --- lexical -----------------------------------------------------------------------------
 
 
+def test_porter_as_columns_and_as_sql(spark):
+    rnd = random.Random(5)
+    ends = ["", *stem.STEP_4, *(e for e, _ in stem.STEP_2), "s", "sses", "ies", "eed", "ed", "ing", "y", "e", "ll", "ness"]
+    words = {
+        "".join(rnd.choices("aeiouybcdlstzwx1é", k=rnd.randint(0, 7))) + rnd.choice(ends) + rnd.choice(["", "", "s", "ly", "ed"])
+        for _ in range(20_000)
+    }
+    words |= {"y" * n + e for n in range(9) for e in ("ed", "ing", "e", "")} | {"a" + "y" * n + "ed" for n in range(9)}
+    words |= {"b" * 50_000 + "ational", "ba" * 50_000 + "tted", "by" * 50_000 + "ing", "a" + "y" * 100_001 + "ed"}
+    expected = {w: stem.porter(w) for w in words}
+    df = spark.createDataFrame([(w,) for w in words], "word STRING").repartition(8)
+    got = df.select("word", stem.stem_word(F.col("word"), "porter").alias("stem"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.word: r.stem for r in got.collect()} == expected
+    odd = spark.createDataFrame([(None,), ([],), (["flies", None],)], "w ARRAY<STRING>")
+    assert [r[0] for r in odd.select(stem.stem_array(F.col("w"), "porter")).collect()] == [None, [], ["fli", None]]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"word": sorted(words)}))
+    assert dict(con.execute(f"WITH {stem.porter_sql('s', 'given')} SELECT word, stem FROM s").fetchall()) == expected
+
+
 def test_porter():
     # Examples of the paper, step by step, and words that pass through several.
     for word, stem in {
