@@ -346,9 +346,10 @@ def resolve_concepts(
     def padded(c):
         return F.concat(F.lit(" "), F.col(c), F.lit(" "))
 
+    # By the size of their files the runs of millions of concepts pass for a small table; they are never broadcast.
     hits = (
         anchored.filter("_key <> ''")
-        .join(keyed, "_gram")
+        .join(keyed.hint("merge"), "_gram")
         .filter(F.contains(padded("_text"), padded("_key")))
         .groupBy("name")
         .agg(F.min_by("concept_id", "ord").alias("concept_id"))
