@@ -329,47 +329,61 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def _left(batch: pa.RecordBatch):
+    """(all bytes, maximal removed runs, bytes that are left) of each row."""
+    for text, spans in zip(batch.column("packed"), batch.column("spans")):
+        data, runs = zstandard.decompress(text.as_py()), merged(spans.as_py())
+        parts, at = [], 0
+        for a, b in runs:
+            parts.append(data[at:a])
+            at = b
+        yield len(data), runs, b"".join([*parts, data[at:]])
+
+
+def _others(batch: pa.RecordBatch) -> dict:
+    return {c: batch.column(c) for c in batch.schema.names if c not in ("packed", "spans")}
+
+
 def _kept_batches(batches):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        kept, removed, size = [], [], []
-        for text, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
-            data, runs = zstandard.decompress(text), merged(spans)
-            parts, at = [], 0
-            for a, b in runs:
-                parts.append(data[at:a])
-                at = b
-            kept.append(b"".join([*parts, data[at:]]))
+        size, removed, kept = [], [], []
+        for n, runs, left in _left(batch):
+            size.append(n)
             removed.append([{"start": a, "end": b} for a, b in runs])
-            size.append(len(data))
-        names = [c for c in batch.schema.names if c not in ("packed", "spans")]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(size, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+            kept.append(left)
+        columns = _others(batch) | {"n_bytes": pa.array(size, pa.int64()), "removed": pa.array(removed, kind), "kept": pa.array(kept, pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def cut_out(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, kernel: int = KERNEL, together: int = TOGETHER) -> DataFrame:
-    """The columns ``keep`` with n_bytes, the maximal removed runs and the bytes that are left."""
+def _text_batches(batches):
+    for batch in batches:
+        columns = _others(batch) | {"text": pa.array([left.decode("utf-8", "ignore") for _, _, left in _left(batch)], pa.string())}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _with_spans(docs: DataFrame, keep: tuple[str, ...], length: int, kernel: int, together: int) -> tuple[DataFrame, list[str]]:
+    """(the columns ``keep``, packed texts and their spans; the schema of ``keep``)."""
     rows = keyed(docs.select("text", *[c for c in keep if c != "text"]))
     spans = repeated_spans(rows, length, kernel, together)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    joined = packed(rows).join(spans, ["d1", "d2"], "left").select(*keep, "packed", "spans")
-    return joined.mapInArrow(_kept_batches, ", ".join([*fields, "n_bytes long", "removed array<struct<start: long, end: long>>", "kept binary"]))
+    return packed(rows).join(spans, ["d1", "d2"], "left").select(*keep, "packed", "spans"), fields
 
 
-def _text_batches(batches):
-    for batch in batches:
-        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-        columns = {c: batch.column(c) for c in batch.schema.names if c not in ("kept", "n_bytes", "removed")}
-        columns["text"] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def cut_out(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, kernel: int = KERNEL, together: int = TOGETHER) -> DataFrame:
+    """The columns ``keep`` with n_bytes, the maximal removed runs and the bytes that are left."""
+    joined, fields = _with_spans(docs, keep, length, kernel, together)
+    return joined.mapInArrow(_kept_batches, ", ".join([*fields, "n_bytes long", "removed array<struct<start: long, end: long>>", "kept binary"]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Texts without repeated passages; a character cut in two goes as a whole.
 
     ``n_chars`` follows the text, other columns may have any names and stay as they are.
+    Texts are cut and decoded in one step: a second one would hold as many Python workers again.
     """
     rows, restored = carried(docs, "doc_id", "text", "n_chars")
     keep = tuple(c for c in rows.columns if c not in ("text", "n_chars"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
-    found = cut_out(rows, keep).mapInArrow(_text_batches, ", ".join([*fields, "text string"]))
+    joined, fields = _with_spans(rows, keep, LENGTH, KERNEL, TOGETHER)
+    found = joined.mapInArrow(_text_batches, ", ".join([*fields, "text string"]))
     return restored(found, n_chars=F.length("text").cast("long"))
