@@ -63,11 +63,12 @@ def rebuild(
     """Build the graph of stored pages anew and replace the domain in the store.
 
     Ids depend on the content only, so a second run writes the same rows.  Sections go
-    into nodes, edges and tags; they are worked out once.  A domain that is stored keeps
-    its name, description and time of creation.
+    into nodes, edges and tags; they are worked out once, those that are given by the caller
+    (``cut`` keeps them).  A domain that is stored keeps its name, description and time of
+    creation.
     """
     pages = pages.select("doc_id", "page_no", "text")
-    sections = cut(sections_of(pages, settings=settings) if sections is None else sections)
+    sections = cut(sections_of(pages, settings=settings)) if sections is None else sections
     built = graph_of(pages, sections=sections, domain=domain, now=now, settings=settings)
     at = F.current_timestamp() if now is None else now.cast("timestamp")
     old = stored_domain(spark, path, domain)

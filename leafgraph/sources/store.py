@@ -20,11 +20,13 @@ def save_graph(graph: Graph, path: str, domains: list[str] = ()) -> None:
 
     ``domains`` are those built anew as a whole: where a table has no rows of one of them
     any more, the old ones go too.  Files are balanced by size within a domain, also where
-    one domain has most rows.
+    one domain has most rows.  Nodes hold the texts: of one domain they are written as they
+    lie, a file a task, and not shuffled.
     """
     def write(df: DataFrame, name: str, column: str) -> None:
-        df.hint("rebalance", column).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
+        df = df if name == "nodes" and len(domains) == 1 else df.hint("rebalance", column)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "compression", "zstd"
         ).partitionBy(column).parquet(f"{path}/{name}")
         for domain in domains:
             if df.filter(F.col(column) == domain).isEmpty():
