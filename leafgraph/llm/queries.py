@@ -130,8 +130,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_pitman_yor")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    from leafgraph.llm import pitman_yor
+    from leafgraph.llm import pitman_yor, stages
 
+    stages.short_batches(spark)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     return pitman_yor.score(table(spark, folder, "documents"), held_out)
 

@@ -12,18 +12,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BATCH_BYTES = 4 << 20
 
 
-def in_short_batches(stage):
-    """The stage with batches of whole texts of BATCH_BYTES at most in the session, from then on.
+def short_batches(spark: SparkSession) -> None:
+    """Batches of whole texts of BATCH_BYTES at most in the session, from then on.
 
     A batch stands in the executor and in the worker several times over, and neither gives back
     what it took for the largest one. What a stage returns does not depend on it.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def in_short_batches(stage):
+    """The stage with short batches."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
-            spark.conf.set(key, BATCH_BYTES)
+        short_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run

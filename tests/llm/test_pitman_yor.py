@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm import pitman_yor as M
 from leafgraph.llm import queries
+from leafgraph.llm.packed import packed, unpacked
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -107,3 +108,47 @@ def test_context_is_the_token_before(spark):
     # Seated, with all or none of the tokens joined by key, the scores agree but for the draws.
     a, b = ({r.doc_id: r.score for r in M.score(frame, F.col("doc_id") == 4, 4, f).collect()} for f in (M.FREQUENT, 1.1))
     assert all(abs(a[i] - b[i]) < 0.15 * abs(a[i]) for i in a)
+
+
+def test_hot_pairs_and_rare_tokens(spark):
+    texts = ["x y " * 300, "x y " * 90 + "rare", "rare once x", "y x", "again rare x y", "once again"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    train = [[None, *tokens(t)] for i, t in rows if i != 3]
+    c = Counter((u, w) for t in train for u, w in zip(t, t[1:]))
+    size, tables, customers = Counter(), Counter(), Counter()
+    for (u, w), n in c.items():
+        size[u] += n
+        tables[u] += 1
+        customers[w] += 1
+    (d, th), (d0, th0), v = M.CONTEXT, M.PARENT, len(customers)
+
+    def log(u, w):
+        p0 = (customers[w] - d0 * (w in customers) + (th0 + d0 * v) / (v + 1)) / (th0 + len(c))
+        return math.log10((c[u, w] - d * ((u, w) in c) + (th + d * tables[u]) * p0) / (th + size[u]))
+
+    counts = Counter(x for t in train for x in t[1:])
+    n = sum(counts.values())
+    for frequent in (M.FREQUENT, 0.01, 1.1):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = {r.doc_id: r for r in M.score(frame, F.col("doc_id") == 3, 0, frequent).collect()}
+        for i, t in rows:
+            own = [None, *tokens(t)]
+            assert math.isclose(got[i].score, sum(log(u, w) for u, w in zip(own, own[1:])), rel_tol=1e-9), (i, frequent)
+            assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own[1:]), rel_tol=1e-9)
+            assert got[i].n_known == sum(counts[w] > 0 for w in own[1:])
+
+
+def test_scores_do_not_depend_on_the_split(spark):
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    for frequent in (M.FREQUENT, 1e-3):
+        one, many = ({r.doc_id: r for r in M.score(frame.repartition(n), held_out, frequent=frequent).collect()} for n in (1, 4))
+        assert one.keys() == many.keys()
+        assert all(math.isclose(one[i].score, many[i].score, rel_tol=1e-9) for i in one)
+
+
+def test_packed_arrays():
+    arrays = [np.array(x) for x in ([], [0], [-1, 3, 1 << 40], [0.5, -2.25], [300, 70_000])]
+    arrays[0] = arrays[0].astype(np.int64)
+    got = unpacked(packed(*arrays))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, got))
