@@ -361,36 +361,32 @@ def _ranges(far: np.ndarray, parts: int):
     return zip(home[start].tolist(), start.tolist(), np.append(start[1:], len(home)).tolist())
 
 
-def _tells(parts: int):
-    """Tables of these contexts that are due to pairs here."""
-
-    def run(p, items):
-        found = _by_tag(items)
-        for (values,), (state,) in zip(found["part"], found["state"]):
-            far, tables = unpacked(values[8:9])[0], unpacked(state[3:4])[0]
-            for home, a, b in _ranges(far, parts):
-                yield home, ("told", p, packed(tables[a:b]))
-
-    return run
+def _asked(p, items):
+    """Where the contexts that others ask for stand among the own ones, and their customers."""
+    found = _by_tag(items)
+    own, own_c = unpacked(found["part"][0][0][3:5])
+    for asker, names in found["ask"]:
+        at = np.searchsorted(own, unpacked(names)[0])
+        yield p, ("asked", asker, packed(at, own_c[at]))
 
 
-def _own_tables(part: _Part, state: list, found: dict) -> np.ndarray:
-    """Tables of the part's own contexts, with those due to pairs elsewhere."""
-    told, tu = dict(found["told"]), unpacked(state[2:3])[0]
-    for p, names in found["ask"]:
-        tu = tu + _total(np.searchsorted(part.own, unpacked(names)[0]), unpacked(told[p])[0], len(tu))
-    return tu
+def _due(item):
+    """Tables of far contexts that are due to pairs here, to where they lie."""
+    p, value = item
+    if value[0] == "due":
+        yield value[1], ("told", p, value[2])
 
 
 def _replies(p, items):
-    """Tables and customers of the contexts asked for."""
+    """Tables of the own contexts, with those due to pairs elsewhere, and of those asked for."""
     found = _by_tag(items)
-    for (values,), (state,) in zip(found["part"], found["state"]):
-        part = _Part(values, 0)
-        tu = _own_tables(part, state, found)
-        for asker, names in found["ask"]:
-            at = np.searchsorted(part.own, unpacked(names)[0])
-            yield asker, ("reply", p, packed(tu[at], part.own_c[at]))
+    told, tu = dict(found["told"]), unpacked(found["state"][0][0][2:3])[0]
+    asked = [(asker, *unpacked(x)) for asker, x in found["asked"]]
+    if asked:
+        tu = tu + _total(np.concatenate([at for _, at, _ in asked]), np.concatenate([unpacked(told[asker])[0] for asker, _, _ in asked]), len(tu))
+    yield p, ("full", packed(tu))
+    for asker, at, c in asked:
+        yield asker, ("reply", p, packed(tu[at], c))
 
 
 def _far_tables(found: dict) -> list[np.ndarray]:
@@ -398,18 +394,17 @@ def _far_tables(found: dict) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*got)] if got else [np.zeros(0, np.int64)] * 2
 
 
-def _past(part: _Part, state: list, found: dict, counts: bool) -> tuple[list, list]:
+def _past(state: list, found: dict, counts: bool) -> tuple[list, list]:
     """([tables of own and far contexts, own customers and tables in the parent], with those of counted sweeps before)."""
-    own_c0, own_t0 = unpacked(state[4:6])
-    last = [_own_tables(part, state, found), _far_tables(found)[0], own_c0, own_t0]
-    return last, state[6:] + packed(*last) * counts
+    last = [unpacked(found["full"][0][0])[0], _far_tables(found)[0], *unpacked(state[3:5])]
+    return last, state[5:] + packed(*last) * counts
 
 
-def _step(sweep: int, size: int, top: tuple | None, before: dict, now: dict, counted: list):
+def _step(sweep: int, size: int, parts: int, top: tuple | None, before: dict, now: dict, counted: list):
     """Seats all pairs of a part and its own dishes in the parent.
 
-    State: (tables of pairs, their sum over counted sweeps, tables of own and of far contexts
-    due to pairs here, own customers and tables in the parent), and what ``_past`` keeps.
+    State: (tables of pairs, their sum over counted sweeps, tables of own contexts due to
+    pairs here, own customers and tables in the parent), and what ``_past`` keeps.
     """
     d, th = CONTEXT
     d0, th0 = PARENT
@@ -421,7 +416,7 @@ def _step(sweep: int, size: int, top: tuple | None, before: dict, now: dict, cou
             dish, context = part.dishes(part.w), part.contexts(part.u, part.w)
             if sweep:
                 (state,) = found["state"][0]
-                (tu, far, c0, t0), kept = _past(part, state, found, sweep - 1 in counted)
+                (tu, far, c0, t0), kept = _past(state, found, sweep - 1 in counted)
                 p0 = np.concatenate([top[0], parent(c0, t0, before)])[dish]
                 strength = th + d * np.concatenate([top[1], tu, far])[context]
                 t = seat(part.c, p0, strength, d, np.random.default_rng([sweep, 2, p]))
@@ -434,7 +429,10 @@ def _step(sweep: int, size: int, top: tuple | None, before: dict, now: dict, cou
                 t0 = seat(c0, np.full(len(c0), 1 / (now["distinct"] + 1)), np.full(len(c0), th0 + d0 * now["parent_t"]), d0, np.random.default_rng([sweep, 1, p]))
             else:
                 t0 = np.minimum(c0, 1)
-            yield p, ("state", packed(t, ts + t * (sweep in counted), own_tu + part.own_tu, far_tu + part.far_tu, c0, t0) + kept)
+            yield p, ("state", packed(t, ts + t * (sweep in counted), own_tu + part.own_tu, c0, t0) + kept)
+            far_tu = far_tu + part.far_tu
+            for home, a, b in _ranges(part.far, parts):
+                yield p, ("due", home, packed(far_tu[a:b]))
             yield _sliced(p, [tu_top, c0_top], int(c0.sum()), int(t0.sum()))
 
     return run
@@ -489,13 +487,13 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, frequent: float = FREQUENT) -> tu
     pairs = dealt(rows.rdd.map(lambda r: (r[0], pickle.loads(r[1]))))
     part = on_parts(_static(size, parts), pairs, stay=True).persist(StorageLevel.DISK_ONLY)
     (tu_once, c0_once), _ = _added(part)
-    asks = dealt(part.flatMap(_asks(parts)))
+    asked = on_parts(_asked, part, dealt(part.flatMap(_asks(parts))), stay=True).persist(StorageLevel.DISK_ONLY)
 
     counted = [s for s in range(sweeps + 1) if s > 1 or sweeps < 2]  # the first adds nothing yet, the last only adds
     tops, nows, parent_t, now, last = [], [], totals["distinct"], totals, [part]
     p0 = tu = None
     for sweep in range(sweeps + 1):
-        state = on_parts(_step(sweep, size, (p0, tu), now, totals | {"parent_t": parent_t}, counted), *last, stay=True).persist(StorageLevel.DISK_ONLY)
+        state = on_parts(_step(sweep, size, parts, (p0, tu), now, totals | {"parent_t": parent_t}, counted), *last, stay=True).persist(StorageLevel.DISK_ONLY)
         (tu, c0), (own_c0, own_t0) = _added(state)
         tu, c0 = tu + tu_once, c0 + c0_once
         if sweep:
@@ -508,9 +506,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, frequent: float = FREQUENT) -> tu
         if sweep in counted:
             tops.append((p0, tu))
             nows.append(now)
-        told = dealt(on_parts(_tells(parts), part, state))
-        replies = dealt(on_parts(_replies, part, state, asks, told))
-        last = [part, state, asks, told, replies]
+        last = [part, state, dealt(on_parts(_replies, state, asked, dealt(state.flatMap(_due))))]
     totals |= {"pairs": pairs, "last": last, "c_top": c_top, "tops": tops, "nows": nows, "on_parts": on_parts, "dealt": dealt}
     whole = pa.table({"h": names[by_count], "c": c_top, "n": n_top, "p": pa.array(np.stack([p for p, _ in tops], 1).tolist(), pa.list_(pa.float64()))})
     rare = spark.createDataFrame(on_parts(_words(nows), *last), "h long, c long, n long, p array<double>")
@@ -524,7 +520,7 @@ def _words(nows: list):
         found = _by_tag(items)
         for (values,), (state,) in zip(found["part"], found["state"]):
             part = _Part(values, 0)
-            kept = unpacked(_past(part, state, found, True)[1])
+            kept = unpacked(_past(state, found, True)[1])
             cells = np.stack([parent(c0, t0, now) for c0, t0, now in zip(kept[2::4], kept[3::4], nows)], 1)
             yield from zip((~part.own).tolist(), part.own_c.tolist(), part.own_n.tolist(), cells.tolist())
 
@@ -545,7 +541,7 @@ def _score_parts(totals: dict, c_top: np.ndarray, tops: list, nows: list):
         (values,), (state,) = found["part"][0], found["state"][0]
         part, size = _Part(values, len(c_top)), len(c_top)
         blocks, u, w, c, _, group = _grouped(found["pairs"])
-        kept = unpacked(_past(part, state, found, True)[1])
+        kept = unpacked(_past(state, found, True)[1])
         far_c = _far_tables(found)[1]
         t = np.minimum(c, 1) * len(tops)
         t[c > 1] = unpacked(state[1:2])[0]
