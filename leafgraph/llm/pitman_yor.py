@@ -278,7 +278,10 @@ def _grouped(values: list):
         c += [train, hc]
         n += [np.ones(len(train), np.int64), hn]
     none = np.zeros(0, np.int64)
-    u, w, c, n = (np.concatenate([none, *x]) for x in (u, w, c, n))
+    u = np.concatenate([none, *u])  # one by one, so that few arrays stand twice
+    w = np.concatenate([none, *w])
+    c = np.concatenate([none, *c])
+    n = np.concatenate([none, *n])
     order, start = _distinct(u, w)
     group = np.empty(len(u), np.int32)
     group[order] = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(u))))
